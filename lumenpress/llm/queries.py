@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import mixing, quality, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,55 @@ def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.robust_outliers(_table(spark, sf_dir, "documents"), carry=["doc_id"]).drop("d2")
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+LISTED_HOSTS = [f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+
+
+def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages' urls."""
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    listed = spark.createDataFrame([(x,) for x in LISTED_HOSTS], "host string")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.filter_urls(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = """
+WITH parts AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), judged AS (
+  SELECT *,
+    CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN regexp_matches(host, '^(.*\\.)?(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\\.example\\.(com|net|org)$') THEN 'block'
+       ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+
+def op8_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 7, near equal in bytes, equal texts together."""
+    d = sharding.shard(_table(spark, sf_dir, "documents"), 8, carry=["doc_id"])
+    return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes from each."""
+    return mixing.mix(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_robust_outliers": op2_robust_outliers,
+    "op5_url_cascade": op5_url_cascade,
+    "op8_lpt_shards": op8_lpt_shards,
+    "op9_water_filling": op9_water_filling,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_url_cascade": OP5_SQL}
