@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, urlfilter
+from . import mixing, quality, secrets, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,10 +64,19 @@ def op9_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of all documents."""
+    d = secrets.find_secrets(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = F.array_sort(F.concat("base", "added"))
+    return d.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_robust_outliers": op2_robust_outliers,
     "op5_url_cascade": op5_url_cascade,
     "op8_lpt_shards": op8_lpt_shards,
+    "op10_randomness_battery": op10_randomness_battery,
     "op9_water_filling": op9_water_filling,
 }
 ORACLE: dict[str, str] = {"op5_url_cascade": OP5_SQL}
