@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets, sharding, urlfilter
+from . import mixing, neardup, quality, secrets, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.robust_outliers(_table(spark, sf_dir, "documents"), carry=["doc_id"]).drop("d2")
 
 
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of all documents: the least doc_id of the class."""
+    return neardup.near_classes(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 LISTED_HOSTS = [f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
 
@@ -74,6 +79,7 @@ def op10_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_robust_outliers": op2_robust_outliers,
+    "op4_bag_minhash": op4_bag_minhash,
     "op5_url_cascade": op5_url_cascade,
     "op8_lpt_shards": op8_lpt_shards,
     "op10_randomness_battery": op10_randomness_battery,
