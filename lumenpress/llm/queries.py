@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, quality, secrets, sharding, urlfilter
+from . import mixing, neardup, packing, quality, secrets, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ FROM judged
 """
 
 
+def op7_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 def op8_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7, near equal in bytes, equal texts together."""
     d = sharding.shard(_table(spark, sf_dir, "documents"), 8, carry=["doc_id"])
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_robust_outliers": op2_robust_outliers,
     "op4_bag_minhash": op4_bag_minhash,
     "op5_url_cascade": op5_url_cascade,
+    "op7_vector_best_fit": op7_vector_best_fit,
     "op8_lpt_shards": op8_lpt_shards,
     "op10_randomness_battery": op10_randomness_battery,
     "op9_water_filling": op9_water_filling,
