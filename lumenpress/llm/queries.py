@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, quality, secrets, sharding, urlfilter
+from . import media, mixing, neardup, packing, quality, secrets, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ FROM judged
 """
 
 
+def op6_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as chunked 8-bit media and read back."""
+    return media.media_column(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 def op7_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), carry=["doc_id"])
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_robust_outliers": op2_robust_outliers,
     "op4_bag_minhash": op4_bag_minhash,
     "op5_url_cascade": op5_url_cascade,
+    "op6_chunked_media": op6_chunked_media,
     "op7_vector_best_fit": op7_vector_best_fit,
     "op8_lpt_shards": op8_lpt_shards,
     "op10_randomness_battery": op10_randomness_battery,
