@@ -7,13 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, neardup, packing, quality, secrets, sharding, urlfilter
+from . import media, mixing, neardup, packing, quality, secrets, sharding, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC bundles and read back."""
+    back = warc.archive(_table(spark, sf_dir, "pages"))
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH RECURSIVE p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), bits AS (
+  SELECT DISTINCT hex, array_to_string(list_transform(range(40), lambda i: right(format('{:b}', 16 + cast('0x' || hex[i + 1] AS int)), 4)), '') AS b FROM p
+), named AS (
+  SELECT hex, array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[cast(
+    16 * cast(b[5 * i + 1] AS int) + 8 * cast(b[5 * i + 2] AS int) + 4 * cast(b[5 * i + 3] AS int) + 2 * cast(b[5 * i + 4] AS int) + cast(b[5 * i + 5] AS int) AS int) + 1]), '') AS digest FROM bits
+), firsts AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex)
+SELECT page_id, cast(strlen(html) AS bigint) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN firsts USING (hex) JOIN named USING (hex)
+"""
+
+
 def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdicts of all documents."""
     return quality.robust_outliers(_table(spark, sf_dir, "documents"), carry=["doc_id"]).drop("d2")
@@ -88,6 +110,7 @@ def op10_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_bundles": op1_warc_bundles,
     "op2_robust_outliers": op2_robust_outliers,
     "op4_bag_minhash": op4_bag_minhash,
     "op5_url_cascade": op5_url_cascade,
@@ -97,4 +120,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_randomness_battery": op10_randomness_battery,
     "op9_water_filling": op9_water_filling,
 }
-ORACLE: dict[str, str] = {"op5_url_cascade": OP5_SQL}
+ORACLE: dict[str, str] = {"op1_warc_bundles": OP1_SQL, "op5_url_cascade": OP5_SQL}
