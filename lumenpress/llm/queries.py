@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, neardup, packing, quality, secrets, sharding, urlfilter, warc
+from . import html, media, mixing, neardup, packing, quality, secrets, sharding, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.robust_outliers(_table(spark, sf_dir, "documents"), carry=["doc_id"]).drop("d2")
 
 
+def op3_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.main_text(_table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+
+
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of all documents: the least doc_id of the class."""
     return neardup.near_classes(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
@@ -112,6 +117,7 @@ def op10_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_robust_outliers": op2_robust_outliers,
+    "op3_consensus_paths": op3_consensus_paths,
     "op4_bag_minhash": op4_bag_minhash,
     "op5_url_cascade": op5_url_cascade,
     "op6_chunked_media": op6_chunked_media,
