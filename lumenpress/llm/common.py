@@ -50,6 +50,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def packed(carry: list[str]) -> Column:
+    """The carried columns as one struct named row, so that no name of theirs can clash inside an operator."""
+    return (F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct(F.lit(0))).alias("row")
+
+
+def unpacked(carry: list[str], *own: str) -> list[Column]:
+    """The carried columns again, and the operator's own; these replace carried ones of the same name."""
+    taken = {c.lower() for c in own}
+    return [*(F.col("row")[c].alias(c) for c in carry if c.lower() not in taken), *(F.col(c) for c in own)]
+
+
 def private(df: DataFrame, *names: str) -> list[str]:
     """Column names starting with these that df doesn't have yet, so that extra input columns can't clash."""
     taken = {c.lower() for c in df.columns}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import packed, saved, unpacked
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _RAW = {x: re.compile(rf"</{x}\s*(?:>|\Z)", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")}
@@ -265,7 +265,7 @@ def main_text(df: DataFrame, url: str = "url", html: str = "html", carry: list[s
     carry = [c for c in df.columns if c != html] if carry is None else carry
     paths = winning_paths(df, url, html) if paths is None else paths
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    rows = df.select(F.struct(*carry).alias("row"), F.col(html).alias("html"), host.alias("of"))
+    rows = df.select(packed(carry), F.col(html).alias("html"), host.alias("of"))
     d = rows.join(paths.select("host", "path"), F.col("of") == F.col("host"), "left").select("row", "html", "path")
     kinds = T.StructType([d.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return d.mapInArrow(_extract, kinds).select(*(F.col("row")[c].alias(c) for c in carry), "text", "n_chars")
+    return d.mapInArrow(_extract, kinds).select(*unpacked(carry, "text", "n_chars"))

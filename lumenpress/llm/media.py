@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, scratch_path
+from .common import packed, saved, scratch_path, unpacked
 from .store import opened, put, remove
 
 UNIT = 192
@@ -159,7 +159,7 @@ def write_media(df: DataFrame, raw: Column, carry: list[str], folder: str) -> Da
 
     chunks has, in order, digest and address of each chunk; equal chunks of the whole table have one address.
     """
-    rows = df.select(F.struct(*carry).alias("row"), raw.alias("raw"))
+    rows = df.select(packed(carry), raw.alias("raw"))
     names = f"n_bytes bigint, media_bytes bigint, media_sha256 string, chunks array<{_CHUNK_SQL}>"
     kinds = T.StructType([rows.schema["row"], *T.StructType.fromDDL(names).fields])
     written = saved(rows.mapInArrow(_writer(folder), kinds).withColumn("at", F.monotonically_increasing_id()), "media")
@@ -268,4 +268,4 @@ def media_column(df: DataFrame, text: str = "text", carry: list[str] | None = No
     names = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     kinds = T.StructType([lists.schema["row"], *T.StructType.fromDDL(names).fields])
     back = lists.select("row", "n_bytes", "media_bytes", "media_sha256", "chunks").mapInArrow(_reader(folder), kinds)
-    return back.select(*(F.col("row")[c].alias(c) for c in carry), *(x.split(" ")[0] for x in names.split(", ")))
+    return back.select(*unpacked(carry, *(x.split(" ")[0] for x in names.split(", "))))

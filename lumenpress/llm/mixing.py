@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, packed, saved, unpacked
 
 BITS, PREFIX = 52, 12
 SEED = 20240131
@@ -52,7 +52,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     carry = df.columns if carry is None else carry
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), 64 - BITS)
-    rows = df.select(F.struct(*carry).alias("row"), F.col(source).alias("source"), size.alias("size"), draw.alias("draw"), F.monotonically_increasing_id().alias("at"))
+    rows = df.select(packed(carry), F.col(source).alias("source"), size.alias("size"), draw.alias("draw"), F.monotonically_increasing_id().alias("at"))
     rows = saved(rows, "mix")
     plan = mix_plan(rows.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, share, cap)
     prefix = F.shiftright("draw", BITS - PREFIX)
@@ -71,7 +71,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     inner = d.filter(inside).withColumn("more", F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)) + F.col("size") / 2 <= F.col("need"))
     copies = (F.col("whole") + F.col("more").cast("long")).cast("long")
     out = outer.unionByName(inner).withColumn("copies", copies)
-    return out.select(*(F.col("row")[c].alias(c) for c in carry), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.withColumn("taken", F.col("size") * F.col("copies")).select(*unpacked(carry, "size", "source_size", "target", "copies", "taken"))
 
 
 def mix_plan(sources: DataFrame, cycle: tuple[float, ...], share: float, cap: float) -> DataFrame:

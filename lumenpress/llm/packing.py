@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import packed, saved, unpacked
 
 LENGTH = 4096
 END_ID = 1
@@ -225,7 +225,7 @@ def pack(
     documents and attention are those that any set of pieces within the token capacity keeps.
     """
     carry = df.columns if carry is None else carry
-    rows = df.select(F.struct(*carry).alias("row"), F.col(text).alias("text"))
+    rows = df.select(packed(carry), F.col(text).alias("text"))
     schema = T.StructType([rows.schema["row"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     if with_ids:
         schema = schema.add("ids", T.BinaryType())
@@ -249,4 +249,4 @@ def pack(
         d = light.groupBy("group").applyInPandas(_packer(length, documents, attention, weights, rule), "at bigint, group int, sequence_id bigint, offset bigint")
         d = pieces.join(d.drop("group"), "at")
     names = ["piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "sequence_id", "offset"]
-    return d.select(*(F.col("row")[c].alias(c) for c in carry), *names)
+    return d.select(*unpacked(carry, *names))

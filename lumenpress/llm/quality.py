@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, private, saved, words
+from .common import let, packed, private, saved, unpacked, words
 
 P = 5
 MIN_GROUP = 50
@@ -234,12 +234,12 @@ def robust_outliers(df: DataFrame, text: str = "text", lang: str = "lang", sourc
     and source is within the chi-squared cutoff. One row per input row, repeated rows included.
     """
     carry = df.columns if carry is None else carry
-    packed = df.select(F.struct(*carry).alias("row") if carry else F.struct(F.lit(0)).alias("row"), F.col(text).alias("text"), _key(lang).alias("lk"), _key(source).alias("sk"))
-    stats = base_statistics(packed).drop("text")
+    rows = df.select(packed(carry), F.col(text).alias("text"), _key(lang).alias("lk"), _key(source).alias("sk"))
+    stats = base_statistics(rows).drop("text")
     stats = saved(stats.withColumns({f"q{j}": q for j, q in enumerate(_transformed())}), "quality")
     groups, fit = fit_mcd(stats.filter(~F.col("base_failed")).select("lk", "sk", "n_words", *(f"q{j}" for j in range(P))), min_group)
     d = stats.join(groups, ["lk", "sk"], "left").join(fit, "g", "left")
     d = _distance(d.withColumns({f"z{j}": _z(j) for j in range(P)}))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return d.select(*(F.col("row")[c].alias(c) for c in carry), *names, kept.alias("kept"), "d2")
+    return d.withColumn("kept", kept).select(*unpacked(carry, *names, "kept", "d2"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, private, saved
+from .common import let, packed, saved, unpacked
 
 # The base patterns, with the least number of characters of group 2 or of the match.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -181,7 +181,7 @@ def find_secrets(df: DataFrame, text: str = "text", carry: list[str] | None = No
     """
     carry = df.columns if carry is None else carry
     t = F.coalesce(F.col(text), F.lit(""))
-    d = df.select(F.struct(*carry).alias("row"), t.alias("t"), F.monotonically_increasing_id().alias("at"))
+    d = df.select(packed(carry), t.alias("t"), F.monotonically_increasing_id().alias("at"))
     d = d.withColumn("base", base_spans(F.col("t")))
     d = saved(d.withColumn("free", candidates(F.col("t"), F.col("base"))).drop("t"), "secrets")
     tokens = d.filter(F.size("free") > 0).select("at", F.explode("free").alias("x")).select("at", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.match").alias("token"))
@@ -194,22 +194,21 @@ def find_secrets(df: DataFrame, text: str = "text", carry: list[str] | None = No
     # only rows with candidates can have spans added, so only they are joined
     some = d.filter(F.size("free") > 0).join(added, "at", "left").withColumn("added", F.coalesce("added", none))
     out = d.filter(F.size("free") == 0).withColumn("added", none).unionByName(some)
-    return out.select(*(F.col("row")[c].alias(c) for c in carry), "base", "added")
+    return out.select(*unpacked(carry, "base", "added"))
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """df with every span of its text replaced by a mark; overlapping spans become one. Null stays null."""
-    base, added = private(df, "base", "added")
-    d = find_secrets(df, text)
-    spans = F.array_sort(F.concat("base", "added"))
+    whole = df.select(packed(df.columns).alias("whole"), F.col(text).alias("text"))
+    d = find_secrets(whole).withColumnRenamed("whole", "row")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        between = F.substring(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(fresh, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"])
+        between = F.substring("text", acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate(spans, start, step)
-    clean = F.when(F.size(spans) == 0, F.col(text)).otherwise(F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, F.length(text))))
-    return d.withColumn(text, clean).drop("base", "added")
+    spans = F.array_sort(F.concat("base", "added"))
+    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
+    clean = F.when(F.size(spans) == 0, F.col("text")).otherwise(done)
+    return d.withColumn("__clean", clean).select(*((F.col("__clean") if c == text else F.col("row")[c]).alias(c) for c in df.columns))

@@ -19,7 +19,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import packed, saved, unpacked
 
 PER_SHARD = 500
 LOTS_PER_SHARD = 512
@@ -42,7 +42,7 @@ def shard(df: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_id
     spark = df.sparkSession
     carry = df.columns if carry is None else carry
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    rows = df.select(F.struct(*carry).alias("row"), F.col(key).alias("key"), raw.alias("raw"))
+    rows = df.select(packed(carry), F.col(key).alias("key"), raw.alias("raw"))
     rows = rows.select("row", "key", (F.octet_length("raw") + 1).cast("long").alias("size"), F.crc32("raw").alias("text_crc32"), F.sha2("raw", 256).alias("digest"))
     rows = saved(rows, "shard")
     lots = LOTS_PER_SHARD * shards
@@ -58,7 +58,7 @@ def shard(df: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_id
     d = rows.join(F.broadcast(single), rows.digest == single.d, "left")
     by_lot = F.element_at(F.lit(place), (F.pmod(F.xxhash64("digest"), F.lit(lots)) + 1).cast("int"))
     d = d.withColumn("shard", F.coalesce("s", by_lot).cast("int"))
-    return numbered(d, int(n or 0)).select(*(F.col("row")[c].alias(c) for c in carry), "size", "text_crc32", "shard", "slot")
+    return numbered(d, int(n or 0)).select(*unpacked(carry, "size", "text_crc32", "shard", "slot"))
 
 
 def numbered(d: DataFrame, n: int) -> DataFrame:
