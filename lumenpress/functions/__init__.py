@@ -1,0 +1 @@
+"""Column functions: text, time and arithmetic rules as Spark expressions."""
