@@ -12,10 +12,10 @@ almost all processes end with their first point, past the time within which ever
 
 Equal texts are first put together by digest, so hot groups of copies cost one signature row each. Buckets of
 a band never expand to all pairs: in a round, every member meets its bucket's pivots only; links merge
-members into components, and later rounds look only at buckets that still hold members of two or more
-components that haven't met. After ROUNDS of these, the pairs left between different components of a
-bucket are compared one by one. Pairs first compare sketches (one byte per component; a pair of similarity 0.8 is
-lost with probability under 1e-9), then whole texts.
+members into components, and later rounds look only at buckets that still hold two or more components. What
+is then left is one join of open buckets with themselves that puts out only pairs of different components
+whose sizes and sketches allow the similarity. A sketch has one bit per component of the signature; a pair of
+similarity 0.8 is lost with probability under 1e-8. Whole texts decide.
 
 Defined cases: texts without words (null, empty, white space) have no shingles and are classes of equal
 texts; null is a class of its own rows, each by itself. Repeated rows share their class. Ties go to the
@@ -28,20 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import packed, saved, unpacked
 
 WIDTH = 5
 ROWS, BANDS = 5, 40
 M = ROWS * BANDS
 SIMILARITY = 0.8
-#: A sketch with fewer equal bytes than this can't be of a pair of similarity 0.8 (six standard deviations).
-LEAST_EQUAL = int(M * SIMILARITY - 6 * (M * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
+#: Bits in which two sketches of similarity 0.8 can differ: mean and six standard deviations.
+_APART = (1 - SIMILARITY) / 2
+MOST_APART = int(M * _APART + 6 * (M * _APART * (1 - _APART)) ** 0.5)
 PIVOTS = 2
-ROUNDS = 3
+ROUNDS = 2
 BATCH_BYTES = 1 << 20
 
 _U = np.uint64
@@ -172,25 +173,25 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt = mix64(np.arange(BANDS, dtype=_U) + _U(0xA0761D6478BD642F))
     power = mix64(np.arange(ROWS, dtype=_U) + _U(0xE7037ED1A0B428DB)) | _U(1)
     for b in batches:
-        keys, sketches = [], []
+        keys, sketches, sizes = [], [], []
         for lo, hi, raw, ends in _texts(b.column("text")):
             owner, value = shingles(raw, ends)
-            sig = bag_minhash(owner, value, hi - lo)
-            has = np.isfinite(sig[:, 0])
-            bits = mix64(sig.view(_U))
+            n = np.bincount(owner, minlength=hi - lo)
+            bits = mix64(bag_minhash(owner, value, hi - lo).view(_U))
             band = mix64((bits.reshape(-1, BANDS, ROWS) * power).sum(axis=2) + salt).view(np.int64)
-            byte = (bits >> _U(56)).astype(np.uint8)
-            keys += [band[k] if has[k] else None for k in range(hi - lo)]
-            sketches += [byte[k].tobytes() if has[k] else None for k in range(hi - lo)]
-        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns - 1)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=[*b.schema.names[:-1], "bands", "sketch"])
+            flags = np.zeros((hi - lo, -(-M // 64) * 64), np.uint8)
+            flags[:, :M] = bits >> _U(63)
+            words = np.packbits(flags, axis=1).view(np.int64)
+            keys += [band[k] if n[k] else None for k in range(hi - lo)]
+            sketches += [words[k] if n[k] else None for k in range(hi - lo)]
+            sizes += n.tolist()
+        long = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns - 1)), pa.array(keys, long), pa.array(sketches, long), pa.array(sizes, pa.int64())], names=[*b.schema.names[:-1], "bands", "sketch", "size"])
 
 
-def _similar_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, M) for k in ("sketch_a", "sketch_b"))
-            keep = (a == c).sum(axis=1) >= LEAST_EQUAL
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
+def _can_be_similar(size_a: Column, sketch_a: Column, size_b: Column, sketch_b: Column) -> Column:
+    apart = sum((F.bit_count(sketch_a[k].bitwiseXOR(sketch_b[k])) for k in range(-(-M // 64))), F.lit(0))
+    return (F.least(size_a, size_b) >= SIMILARITY * F.greatest(size_a, size_b)) & (apart <= MOST_APART)
 
 
 def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -238,18 +239,23 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         label = new.select("node", "comp")
 
 
-def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs (text and key; other columns are carried) with class_id: the least key of the document's class.
+def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """The carried columns with class_id: the least key of the document's class, null if no row of it has a key.
 
-    One row per input row. Rows whose key is null can have class_id null only in classes without any key.
+    One row per input row.
     """
-    carry = docs.columns
-    base = docs.select(F.struct(*carry).alias("row"), F.col(key).alias("id"), F.monotonically_increasing_id().alias("at"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("digest"), F.col(text).isNull().alias("missing"), F.col(text).alias("text"))
+    carry = docs.columns if carry is None else carry
+    return _classes(docs, text, key, carry).select(*unpacked(carry, "class_id"))
+
+
+def _classes(docs: DataFrame, text: str, key: str, carry: list[str]) -> DataFrame:
+    """row (the carried columns), at (a number of the row), id (its key), class_id, and comp (the class's number)."""
+    base = docs.select(packed(carry), F.col(key).alias("id"), F.monotonically_increasing_id().alias("at"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("digest"), F.col(text).isNull().alias("missing"), F.col(text).alias("text"))
     names = ["row", "id", "at", "digest", "missing"]
-    signed = base.mapInArrow(_sign, base.select(*names).schema.add("bands", T.ArrayType(T.LongType())).add("sketch", T.BinaryType()))
+    signed = base.mapInArrow(_sign, base.select(*names).schema.add("bands", T.ArrayType(T.LongType())).add("sketch", T.ArrayType(T.LongType())).add("size", T.LongType()))
     signed = saved(signed, "signed")
     # one node per different text
-    texts = signed.filter("not missing").groupBy("digest").agg(F.min("at").alias("node"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    texts = signed.filter("not missing").groupBy("digest").agg(F.min("at").alias("node"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
     nodes = saved(texts, "nodes")
     members = nodes.filter("bands is not null").select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -258,7 +264,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     links, met, comp = None, None, None
     for k in range(ROUNDS + 1):
         open_ = members if comp is None else _open(members, comp)
-        pairs = _pivot_pairs(open_, k) if k < ROUNDS else _rest(open_)
+        pairs = _pivot_pairs(open_, k) if k < ROUNDS else _rest(open_, nodes)
         pairs = pairs.distinct()
         if met is not None:
             pairs = pairs.join(met, ["a", "b"], "left_anti")
@@ -278,7 +284,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     named = done.join(least, "comp").select(F.col("digest").alias("d"), "class_id", "comp")
     one = signed.filter("not missing").join(named, signed.digest == F.col("d")).select("row", "at", "id", "class_id", "comp")
     alone = signed.filter("missing").select("row", "at", "id", F.col("id").alias("class_id"), (-1 - F.col("at")).alias("comp"))
-    return one.unionByName(alone).select(*(F.col("row")[c].alias(c) for c in carry), "class_id", F.col("comp").alias("__comp"), F.col("at").alias("__at"), F.col("id").alias("__id"))
+    return one.unionByName(alone).select("row", "at", "id", "class_id", "comp")
 
 
 def _pivot_pairs(members: DataFrame, k: int) -> DataFrame:
@@ -298,17 +304,25 @@ def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     return d.join(mixed, "band")
 
 
-def _rest(members: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that are of different components."""
-    other = members.select("band", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-    d = members.join(other, "band").filter((F.col("node") > F.col("other")) & (F.col("comp") != F.col("other_comp")))
-    return d.select(F.col("node").alias("a"), F.col("other").alias("b"))
+def _rest(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of members of a bucket that are of different components and can be similar.
+
+    Sizes of similar texts are in the same class (powers of 1.25) or in neighbouring ones, so a bucket is joined
+    by class, and the join itself tests sizes and sketches: its rows are candidates, not all pairs.
+    """
+    d = members.join(nodes.select("node", "size", "sketch"), "node")
+    d = d.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / SIMILARITY))).cast("int"))
+    o = d.select("band", *(F.col(c).alias(f"o_{c}") for c in ("node", "comp", "size", "sketch", "class")), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
+    once = (F.col("o_class") < d["class"]) | (F.col("node") > F.col("o_node"))
+    fits = (F.col("comp") != F.col("o_comp")) & _can_be_similar(F.col("size"), F.col("sketch"), F.col("o_size"), F.col("o_sketch"))
+    d = d.join(o, (d["band"] == o["band"]) & (d["class"] == o["class"]) & once & fits)
+    return d.select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b"))
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
-    sketch = nodes.select("node", "sketch")
-    d = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    close = saved(d.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_similar_sketches, "a bigint, b bigint"), "close")
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    d = pairs.join(side("a"), "a").join(side("b"), "b")
+    close = saved(d.filter(_can_be_similar(F.col("size_a"), F.col("sketch_a"), F.col("size_b"), F.col("sketch_b"))).select("a", "b"), "close")
     needed = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(nodes.select("node", "digest"), "node")
     texts = source.join(needed, "digest").groupBy("node").agg(F.first("text").alias("text"))
     texts = saved(texts, "texts")
@@ -318,6 +332,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one row of each near-duplicate class: that with the least key, null last; of repeated rows one."""
-    d = near_classes(docs, text, key)
-    first = d.groupBy("__comp").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__at").alias("at")))["at"].alias("keep"))
-    return d.join(first.select(F.col("keep").alias("__at")), "__at", "left_semi").select(*docs.columns)
+    d = _classes(docs, text, key, docs.columns)
+    first = d.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))["at"].alias("keep"))
+    kept = d.select("row", "at").join(first.select(F.col("keep").alias("at")), "at", "left_semi")
+    return kept.select(*unpacked(docs.columns))

@@ -48,7 +48,7 @@ def op3_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of all documents: the least doc_id of the class."""
-    return neardup.near_classes(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+    return neardup.near_classes(_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
