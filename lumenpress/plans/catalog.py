@@ -1,4 +1,4 @@
 """All registered queries: importing this module registers them."""
 
-from . import analytics, content  # noqa: F401
+from . import analytics, content, search  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
