@@ -120,7 +120,7 @@ def v11(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("token", F.round(F.col("c") * F.log((n + 1) / (F.col("df") + 1)), 6).alias("weight")).orderBy(F.desc("weight"), "token").limit(15)
 
 
-_CENTROID = "SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, sum(cast(round(v * 1000000) AS bigint)) / count(*) / 1000000 AS m FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1"
+_CENTROID = "SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, sum(cast(round(cast(v AS double) * 1000000) AS bigint)) / count(*) / 1000000 AS m FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1"
 
 
 @query("v14_profile_cosine", f"WITH c AS ({_CENTROID}) SELECT vec_id, round(list_cosine_similarity(cast(embedding AS double[]), c), 5) AS cosine FROM embeddings JOIN c USING (label)")
