@@ -11,7 +11,7 @@ weight; a component's value is the least time of a point placed below it. Points
 almost all processes end with their first point, past the time within which every component is filled.
 
 Equal texts are first put together by digest, so hot groups of copies cost one signature row each. Buckets of
-a band never expand to all pairs: in a round, every member meets its bucket's pivots only; links merge
+a band never expand to all pairs: in a round, every member meets its bucket's pivot only; links merge
 members into components, and later rounds look only at buckets that still hold two or more components. What
 is then left is one join of open buckets with themselves that puts out only pairs of different components
 whose sizes and sketches allow the similarity. A sketch has one bit per component of the signature; a pair of
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
 from .common import packed, saved, unpacked
 
 WIDTH = 5
@@ -41,7 +42,6 @@ SIMILARITY = 0.8
 #: Bits in which two sketches of similarity 0.8 can differ: mean and six standard deviations.
 _APART = (1 - SIMILARITY) / 2
 MOST_APART = int(M * _APART + 6 * (M * _APART * (1 - _APART)) ** 0.5)
-PIVOTS = 2
 ROUNDS = 2
 BATCH_BYTES = 1 << 20
 
@@ -219,81 +219,79 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([x.column("a").filter(mask), x.column("b").filter(mask)], names=["a", "b"])
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Connected components: (node, comp) with comp the least node reached, for nodes with a link.
-
-    Labels move along links and then to the label of the label, until none changes. Each round is a written table.
-    """
-    both = links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct()
-    both = saved(both, "links")
-    label = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node")
-    label = saved(label, "labels")
-    while True:
-        seen = both.join(label, both.b == label.node).groupBy("a").agg(F.min("comp").alias("least"))
-        step = label.join(seen, label.node == seen.a).select("node", "comp", F.least("comp", "least").alias("lower"))
-        up = label.select(F.col("node").alias("parent"), F.col("comp").alias("grand"))
-        new = step.join(up, F.col("lower") == F.col("parent"), "left").select("node", F.col("comp").alias("old"), F.coalesce("grand", "lower").alias("comp"))
-        new = saved(new, "labels")
-        if not new.filter("comp <> old").limit(1).count():
-            return new.select("node", "comp")
-        label = new.select("node", "comp")
-
-
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """The carried columns with class_id: the least key of the document's class, null if no row of it has a key.
 
     One row per input row.
     """
     carry = docs.columns if carry is None else carry
-    return _classes(docs, text, key, carry).select(*unpacked(carry, "class_id"))
+    signed = _signed(docs, text, key, carry)
+    source = docs.select(F.col(text).alias("text"), _digest(text).alias("digest"))
+    return _classes(signed, source).join(signed.select("row", "at"), "at").select(*unpacked(carry, "class_id"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one row of each near-duplicate class: that with the least key, null last; of repeated rows one."""
+    signed = _signed(docs, text, key, docs.columns)
+    d = _classes(signed, signed.select(F.col("row")[text].alias("text"), "digest"))
+    first = d.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))["at"].alias("keep"))
+    dropped = saved(d.join(first, "comp").filter("at <> keep").select("at"), "dropped")
+    return signed.join(dropped, "at", "left_anti").select(*unpacked(docs.columns))
+
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
-def _classes(docs: DataFrame, text: str, key: str, carry: list[str]) -> DataFrame:
-    """row (the carried columns), at (a number of the row), id (its key), class_id, and comp (the class's number)."""
-    base = docs.select(packed(carry), F.col(key).alias("id"), F.monotonically_increasing_id().alias("at"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("digest"), F.col(text).isNull().alias("missing"), F.col(text).alias("text"))
-    names = ["row", "id", "at", "digest", "missing"]
-    signed = base.mapInArrow(_sign, base.select(*names).schema.add("bands", T.ArrayType(T.LongType())).add("sketch", T.ArrayType(T.LongType())).add("size", T.LongType()))
-    signed = saved(signed, "signed")
+
+def _signed(docs: DataFrame, text: str, key: str, carry: list[str]) -> DataFrame:
+    """A written table: row (the carried columns), id, at (a number of the row), digest, missing, bands, sketch, size."""
+    base = docs.select(packed(carry), F.col(key).alias("id"), F.monotonically_increasing_id().alias("at"), _digest(text).alias("digest"), F.col(text).isNull().alias("missing"), F.col(text).alias("text"))
+    schema = base.drop("text").schema.add("bands", T.ArrayType(T.LongType())).add("sketch", T.ArrayType(T.LongType())).add("size", T.LongType())
+    return saved(base.mapInArrow(_sign, schema), "signed")
+
+
+def _classes(signed: DataFrame, source: DataFrame) -> DataFrame:
+    """at, id, class_id and comp (the class's number) of all rows. source: text and digest."""
     # one node per different text
-    texts = signed.filter("not missing").groupBy("digest").agg(F.min("at").alias("node"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
+    texts = signed.filter("not missing").groupBy("digest").agg(F.min("at").alias("node"), F.min("id").alias("least_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
     nodes = saved(texts, "nodes")
     members = nodes.filter("bands is not null").select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = saved(members.join(shared, "band").select("band", "node"), "members")
-    source = docs.select(F.col(text).alias("text"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("digest"))
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
+    members = saved(members.join(shared, "band").select("band", "node", "pivot"), "members")
+    # of the texts in shared buckets, once for all rounds
+    needed = members.select("node").distinct().join(nodes.select("node", "digest", "size", "sketch"), "node")
+    held = saved(source.join(needed, "digest").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("node", "size", "sketch", "text"))).drop("digest"), "texts")
     links, met, comp = None, None, None
     for k in range(ROUNDS + 1):
         open_ = members if comp is None else _open(members, comp)
-        pairs = _pivot_pairs(open_, k) if k < ROUNDS else _rest(open_, nodes)
-        pairs = pairs.distinct()
+        pairs = (_pivot_pairs(open_, k) if k < ROUNDS else _rest(open_, held)).distinct()
         if met is not None:
             pairs = pairs.join(met, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
         if not pairs.limit(1).count():
             break
         met = pairs if met is None else met.unionByName(pairs)
-        found = saved(_verify(pairs, nodes, source), "links")
+        found = saved(_verify(pairs, held), "links")
         links = found if links is None else links.unionByName(found)
-        comp = components(nodes, links)
+        comp = components(links)
     done = nodes.select("digest", "node", "least_id")
-    if comp is not None:
-        done = done.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    else:
-        done = done.withColumn("comp", F.col("node"))
+    done = done.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comp is not None else done.withColumn("comp", F.col("node"))
     least = done.groupBy("comp").agg(F.min("least_id").alias("class_id"))
-    named = done.join(least, "comp").select(F.col("digest").alias("d"), "class_id", "comp")
-    one = signed.filter("not missing").join(named, signed.digest == F.col("d")).select("row", "at", "id", "class_id", "comp")
-    alone = signed.filter("missing").select("row", "at", "id", F.col("id").alias("class_id"), (-1 - F.col("at")).alias("comp"))
-    return one.unionByName(alone).select("row", "at", "id", "class_id", "comp")
+    named = done.join(least, "comp").select("digest", "class_id", "comp")
+    one = signed.filter("not missing").select("at", "id", "digest").join(named, "digest").select("at", "id", "class_id", "comp")
+    return one.unionByName(signed.filter("missing").select("at", "id", F.col("id").alias("class_id"), (-1 - F.col("at")).alias("comp")))
 
 
 def _pivot_pairs(members: DataFrame, k: int) -> DataFrame:
-    """Every member of a bucket with each of the bucket's pivots of round k, as (a, b) with b the pivot's side by number."""
-    draws = [F.min_by("node", F.struct(F.xxhash64(F.lit(k * PIVOTS + j), "node"), "node")) for j in range(PIVOTS)]
-    if k == 0:
-        draws[0] = F.min("node")
-    pivots = members.groupBy("band").agg(F.array_distinct(F.array(*draws)).alias("pivots"))
-    d = members.join(pivots, "band").select("node", *(["comp"] if "comp" in members.columns else []), F.explode("pivots").alias("pivot")).filter("node <> pivot")
+    """Every member of a bucket with the bucket's pivot of round k, as pairs (a, b) with a > b.
+
+    Round 0 takes the least node, which buckets of one group of copies tend to share, so that a member has few
+    different pivots; later rounds take the least by another hash each.
+    """
+    if k:
+        draw = F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node"))["node"]
+        members = members.select("band", "node").join(members.groupBy("band").agg(draw.alias("pivot")), "band")
+    d = members.filter("node <> pivot")
     return d.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
 
 
@@ -304,13 +302,13 @@ def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     return d.join(mixed, "band")
 
 
-def _rest(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, held: DataFrame) -> DataFrame:
     """Pairs of members of a bucket that are of different components and can be similar.
 
     Sizes of similar texts are in the same class (powers of 1.25) or in neighbouring ones, so a bucket is joined
     by class, and the join itself tests sizes and sketches: its rows are candidates, not all pairs.
     """
-    d = members.join(nodes.select("node", "size", "sketch"), "node")
+    d = members.select("band", "node", "comp").join(held.select("node", "size", "sketch"), "node")
     d = d.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / SIMILARITY))).cast("int"))
     o = d.select("band", *(F.col(c).alias(f"o_{c}") for c in ("node", "comp", "size", "sketch", "class")), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
     once = (F.col("o_class") < d["class"]) | (F.col("node") > F.col("o_node"))
@@ -319,20 +317,10 @@ def _rest(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b"))
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    d = pairs.join(side("a"), "a").join(side("b"), "b")
+def _verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs whose sizes and sketches allow the similarity and whose texts have it."""
+    side = lambda c, *more: held.select(F.col("node").alias(c), *(F.col(m).alias(f"{m}_{c}") for m in more))
+    d = pairs.join(side("a", "size", "sketch"), "a").join(side("b", "size", "sketch"), "b")
     close = saved(d.filter(_can_be_similar(F.col("size_a"), F.col("sketch_a"), F.col("size_b"), F.col("sketch_b"))).select("a", "b"), "close")
-    needed = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(nodes.select("node", "digest"), "node")
-    texts = source.join(needed, "digest").groupBy("node").agg(F.first("text").alias("text"))
-    texts = saved(texts, "texts")
-    d = close.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    d = close.join(side("a", "text"), "a").join(side("b", "text"), "b")
     return d.sortWithinPartitions("b").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a bigint, b bigint")
-
-
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one row of each near-duplicate class: that with the least key, null last; of repeated rows one."""
-    d = _classes(docs, text, key, docs.columns)
-    first = d.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))["at"].alias("keep"))
-    kept = d.select("row", "at").join(first.select(F.col("keep").alias("at")), "at", "left_semi")
-    return kept.select(*unpacked(docs.columns))
