@@ -13,8 +13,8 @@ almost all processes end with their first point, past the time within which ever
 Equal texts are first put together by digest, so hot groups of copies cost one signature row each. Buckets of
 a band never expand to all pairs: in a round, every member meets its bucket's pivot only; links merge
 members into components, and later rounds look only at buckets that still hold two or more components. What
-is then left is one join of open buckets with themselves that puts out only pairs of different components
-whose sizes and sketches allow the similarity. A sketch has one bit per component of the signature; a pair of
+is then left is compared in blocks of bounded size, pair by pair only where it can still join two components
+and sizes and sketches allow the similarity. A sketch has one bit per component of the signature; a pair of
 similarity 0.8 is lost with probability under 1e-8. Whole texts decide.
 
 Defined cases: texts without words (null, empty, white space) have no shingles and are classes of equal
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,7 @@ SIMILARITY = 0.8
 _APART = (1 - SIMILARITY) / 2
 MOST_APART = int(M * _APART + 6 * (M * _APART * (1 - _APART)) ** 0.5)
 ROUNDS = 2
+BLOCK = 512
 BATCH_BYTES = 1 << 20
 
 _U = np.uint64
@@ -158,22 +160,21 @@ def bag_minhash(owner: np.ndarray, value: np.ndarray, texts: int, m: int = M) ->
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows lo..hi of a string column with their bytes laid end to end, a space after each, and where those are."""
-    column = column.cast(pa.large_binary()).fill_null(b"")
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     lo, size = 0, 0
-    lengths = np.diff(np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]) if len(column) else []
     for hi in range(len(column)):
         size += int(lengths[hi])
         if size >= BATCH_BYTES or hi == len(column) - 1:
-            ends = np.cumsum(lengths[lo : hi + 1] + 1) - 1
-            yield lo, hi + 1, np.frombuffer(b" ".join([*column.slice(lo, hi + 1 - lo).to_pylist(), b""]), np.uint8), ends
+            raw = b" ".join([*(x or b"" for x in column.slice(lo, hi + 1 - lo).cast(pa.binary()).to_pylist()), b""])
+            yield lo, hi + 1, np.frombuffer(raw, np.uint8), np.cumsum(lengths[lo : hi + 1] + 1) - 1
             lo, size = hi + 1, 0
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt = mix64(np.arange(BANDS, dtype=_U) + _U(0xA0761D6478BD642F))
     power = mix64(np.arange(ROWS, dtype=_U) + _U(0xE7037ED1A0B428DB)) | _U(1)
+    long = pa.list_(pa.int64())
     for b in batches:
-        keys, sketches, sizes = [], [], []
         for lo, hi, raw, ends in _texts(b.column("text")):
             owner, value = shingles(raw, ends)
             n = np.bincount(owner, minlength=hi - lo)
@@ -182,11 +183,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flags = np.zeros((hi - lo, -(-M // 64) * 64), np.uint8)
             flags[:, :M] = bits >> _U(63)
             words = np.packbits(flags, axis=1).view(np.int64)
-            keys += [band[k] if n[k] else None for k in range(hi - lo)]
-            sketches += [words[k] if n[k] else None for k in range(hi - lo)]
-            sizes += n.tolist()
-        long = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns - 1)), pa.array(keys, long), pa.array(sketches, long), pa.array(sizes, pa.int64())], names=[*b.schema.names[:-1], "bands", "sketch", "size"])
+            part = b.slice(lo, hi - lo)
+            lists = [pa.array([x[k] if n[k] else None for k in range(hi - lo)], long) for x in (band, words)]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(b.num_columns - 1)), *lists, pa.array(n, pa.int64())], names=[*b.schema.names[:-1], "bands", "sketch", "size"])
 
 
 def _can_be_similar(size_a: Column, sketch_a: Column, size_b: Column, sketch_b: Column) -> Column:
@@ -209,14 +208,16 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, held = None, None  # rows come sorted by b, so a pivot is counted once
-    for x in batches:
-        keep = []
-        for b, ta, tb in zip(x.column("b").to_pylist(), x.column("text_a").to_pylist(), x.column("text_b").to_pylist(), strict=True):
-            if b != last:
-                last, held = b, _counted(tb)
-            keep.append(overlap(_counted(ta), held) >= SIMILARITY)
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([x.column("a").filter(mask), x.column("b").filter(mask)], names=["a", "b"])
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 128):
+            x = batch.slice(lo, 128)
+            keep = []
+            for k, b in enumerate(x.column("b").to_pylist()):
+                if b != last:
+                    last, held = b, _counted(x.column("text_b")[k].as_py())
+                keep.append(overlap(_counted(x.column("text_a")[k].as_py()), held) >= SIMILARITY)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.column("a").filter(mask), x.column("b").filter(mask)], names=["a", "b"])
 
 
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
@@ -262,9 +263,8 @@ def _classes(signed: DataFrame, source: DataFrame) -> DataFrame:
     needed = members.select("node").distinct().join(nodes.select("node", "digest", "size", "sketch"), "node")
     held = saved(source.join(needed, "digest").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("node", "size", "sketch", "text"))).drop("digest"), "texts")
     links, met, comp = None, None, None
-    for k in range(ROUNDS + 1):
-        open_ = members if comp is None else _open(members, comp)
-        pairs = (_pivot_pairs(open_, k) if k < ROUNDS else _rest(open_, held)).distinct()
+    for k in range(ROUNDS):
+        pairs = _pivot_pairs(members if comp is None else _open(members, comp), k).distinct()
         if met is not None:
             pairs = pairs.join(met, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
@@ -274,6 +274,10 @@ def _classes(signed: DataFrame, source: DataFrame) -> DataFrame:
         found = saved(_verify(pairs, held), "links")
         links = found if links is None else links.unionByName(found)
         comp = components(links)
+    if comp is not None:
+        found = saved(_rest(_open(members, comp), nodes, held), "links")
+        if found.limit(1).count():
+            comp = components(links.unionByName(found))
     done = nodes.select("digest", "node", "least_id")
     done = done.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comp is not None else done.withColumn("comp", F.col("node"))
     least = done.groupBy("comp").agg(F.min("least_id").alias("class_id"))
@@ -302,19 +306,53 @@ def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     return d.join(mixed, "band")
 
 
-def _rest(members: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket that are of different components and can be similar.
+def _rest(members: DataFrame, nodes: DataFrame, held: DataFrame) -> DataFrame:
+    """Links between members of a bucket that are of different components.
 
-    Sizes of similar texts are in the same class (powers of 1.25) or in neighbouring ones, so a bucket is joined
-    by class, and the join itself tests sizes and sketches: its rows are candidates, not all pairs.
+    A semi join leaves the members for which the bucket has one of another component and of fitting size and
+    sketch; sizes of similar texts are in the same class (powers of 1.25) or in neighbouring ones. These are dealt
+    into blocks, and a task compares two blocks, or one with itself, joining components as it finds links: it
+    goes on only where a pair can still join two. A pair is looked at in the first bucket it shares.
     """
     d = members.select("band", "node", "comp").join(held.select("node", "size", "sketch"), "node")
     d = d.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / SIMILARITY))).cast("int"))
-    o = d.select("band", *(F.col(c).alias(f"o_{c}") for c in ("node", "comp", "size", "sketch", "class")), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
-    once = (F.col("o_class") < d["class"]) | (F.col("node") > F.col("o_node"))
+    o = d.select(F.col("band").alias("o_band"), *(F.col(c).alias(f"o_{c}") for c in ("node", "comp", "size", "sketch")), F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("o_class"))
     fits = (F.col("comp") != F.col("o_comp")) & _can_be_similar(F.col("size"), F.col("sketch"), F.col("o_size"), F.col("o_sketch"))
-    d = d.join(o, (d["band"] == o["band"]) & (d["class"] == o["class"]) & once & fits)
-    return d.select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b"))
+    d = saved(d.join(o, (F.col("band") == F.col("o_band")) & (F.col("class") == F.col("o_class")) & fits, "left_semi").select("band", "node", "comp"), "open")
+    count = d.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    d = d.join(count, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "comp")
+    d = d.join(held, "node").join(nodes.select("node", "bands"), "node")
+    return d.groupBy("band", "p", "q").applyInArrow(_linked, "a bigint, b bigint")
+
+
+def _linked(t: pa.Table) -> pa.Table:
+    """Links between the blocks p and q of a bucket (all columns of one group)."""
+    node, comp, size, block = (t.column(c).to_numpy() for c in ("node", "comp", "size", "block"))
+    sketch, bands = (np.array(t.column(c).to_pylist()) for c in ("sketch", "bands"))
+    key, text, within = t.column("band")[0].as_py(), t.column("text"), t.column("p")[0].as_py() == t.column("q")[0].as_py()
+    comp, counted, links = comp.copy(), {}, []
+    for i in range(len(node)):
+        rest = slice(i + 1, None)
+        fit = (comp[rest] != comp[i]) & (np.minimum(size[rest], size[i]) >= SIMILARITY * np.maximum(size[rest], size[i]))
+        fit &= within | (block[rest] != block[i])
+        at = np.flatnonzero(fit) + i + 1
+        at = at[np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1) <= MOST_APART]
+        if len(at):
+            equal = bands[at] == bands[i]
+            at = at[bands[i][equal.argmax(axis=1)] == key]
+        for j in at.tolist():
+            if comp[j] == comp[i]:
+                continue
+            for k in (i, j):
+                if k not in counted:
+                    counted[k] = _counted(text[k].as_py())
+            if overlap(counted[i], counted[j]) >= SIMILARITY:
+                links.append((int(node[i]), int(node[j])))
+                comp[comp == comp[j]] = comp[i]
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
