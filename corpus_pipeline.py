@@ -7,29 +7,54 @@ shared folder and reads it back for the next.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenpress import scratch
 from lumenpress.llm import mixing, neardup, packing, quality, secrets
-from lumenpress.llm.common import saved
+
+_EARLIER: list[str] = []
+
+
+def stage(f):
+    """A stage that first deletes the scratch tables of earlier ones: their results are written by then.
+
+    Tables that docs still reads, as when stages are chained without writing, stay.
+    """
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.discard(spark, _EARLIER, keep=docs)
+        before = set(scratch.made())
+        out = f(spark, docs, sf_dir)
+        _EARLIER[:] = [p for p in scratch.made() if p not in before or p in _EARLIER]
+        return out
+
+    return run_stage
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the robust outlier test keep."""
     whole = docs.select(F.struct(*docs.columns).alias("doc"), "text", "lang", "source")
     return quality.robust_outliers(whole, carry=["doc"]).filter("kept").select("doc.*")
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
     return neardup.keep_one(docs)
 
 
+@stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and n_chars set anew."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, once or twice."""
     whole = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", "source")
@@ -37,6 +62,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
 
 
+@stage
 def best_fit_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
     return packing.pack(docs, carry=["doc_id"])
@@ -56,6 +82,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, step in STAGES:
+        docs = scratch.saved(step(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -330,7 +330,8 @@ def _rest(members: DataFrame, nodes: DataFrame, held: DataFrame) -> DataFrame:
 def _linked(t: pa.Table) -> pa.Table:
     """Links between the blocks p and q of a bucket (all columns of one group)."""
     node, comp, size, block = (t.column(c).to_numpy() for c in ("node", "comp", "size", "block"))
-    sketch, bands = (np.array(t.column(c).to_pylist()) for c in ("sketch", "bands"))
+    sketch, bands = (np.array(t.column(c).to_pylist(), np.int64) for c in ("sketch", "bands"))
+    sketch = sketch.view(_U)  # bits of signed numbers would be counted of their absolute value
     key, text, within = t.column("band")[0].as_py(), t.column("text"), t.column("p")[0].as_py() == t.column("q")[0].as_py()
     comp, counted, links = comp.copy(), {}, []
     for i in range(len(node)):
