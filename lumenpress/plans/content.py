@@ -230,12 +230,22 @@ def j14(spark: SparkSession, sf: str) -> DataFrame:
 _READ_BY = "SELECT DISTINCT user_id, article_id FROM user_events WHERE event_type = 'READ'"
 
 
-@query("j15_exclude_read", T.sql("SELECT u.user_id, a.id FROM (SELECT DISTINCT user_id FROM user_events) u JOIN articles a ON a.id < 100 WHERE (u.user_id, a.id) NOT IN (SELECT user_id, article_id FROM r) OR (SELECT count(*) FROM r WHERE r.user_id = u.user_id AND article_id < 100) >= 100", "articles", "user_events", r=_READ_BY))
+@query(
+    "j15_exclude_read",
+    T.sql(
+        "SELECT u.user_id, c.id FROM (SELECT DISTINCT user_id FROM user_events) u, c WHERE (u.user_id, c.id) NOT IN (SELECT user_id, article_id FROM r) OR (SELECT count(*) FROM r JOIN c ON c.id = r.article_id WHERE r.user_id = u.user_id) = (SELECT count(*) FROM c)",
+        "articles",
+        "user_events",
+        r=_READ_BY,
+        c="SELECT id FROM articles WHERE id IN (SELECT article_id FROM user_events WHERE event_type = 'SHARED')",
+    ),
+)
 def j15(spark: SparkSession, sf: str) -> DataFrame:
-    """Of the articles that have events, those a user hasn't read; all of them if nothing would be left."""
+    """Of the articles that somebody shared, those a user hasn't read; all of them if nothing would be left."""
     e = T.user_events(spark, sf)
     read = e.filter("event_type = 'READ'").select("user_id", F.col("article_id").alias("id")).distinct()
-    candidates = T.articles(spark, sf).filter("id < 100").select("id")
+    shared = e.filter("event_type = 'SHARED'").select(F.col("article_id").alias("id"))
+    candidates = T.articles(spark, sf).join(shared, "id", "left_semi").select("id")
     return R.exclude_read(e.select("user_id").distinct(), candidates, read)
 
 
