@@ -437,14 +437,37 @@ def r08(spark: SparkSession, sf: str) -> DataFrame:
     return R.user_similarities(_ratings(spark, sf))
 
 
-@query("r08_user_cf")
+_NEAR = "SELECT user_id, other, sim FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, other) AS n FROM sims WHERE sim > 0) WHERE n <= {}"
+_BASE = {"rated": _RATING, "g": _G, "nn": _NN, "sims": _SIMS}
+
+
+@query(
+    "r08_user_cf",
+    T.sql(
+        """SELECT user_id, article_id, round(s * 100 / max(s) OVER (PARTITION BY user_id), 2) AS score FROM (SELECT near.user_id, g.article_id, sum(cast(round(sim * rating * 1000000) AS bigint)) AS s
+        FROM near JOIN g ON g.user_id = other WHERE (near.user_id, g.article_id) NOT IN (SELECT user_id, article_id FROM g) GROUP BY 1, 2)""",
+        "user_events",
+        **_BASE,
+        near=_NEAR.format(10),
+    ),
+)
 def r08_cf(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of unread articles from the ten nearest users."""
     r = _ratings(spark, sf)
     return R.user_cf(r, R.user_similarities(r))
 
 
-@query("r14_mean_centred_cf")
+@query(
+    "r14_mean_centred_cf",
+    T.sql(
+        """SELECT x.user_id, x.article_id, round(m.mean + x.up / x.down, 4) AS score FROM (SELECT near.user_id, g.article_id, sum(cast(round(sim * (rating - mean) * 1000000) AS bigint)) AS up, sum(cast(round(sim * 1000000) AS bigint)) AS down
+        FROM near JOIN g ON g.user_id = other JOIN m ON m.user_id = other WHERE (near.user_id, g.article_id) NOT IN (SELECT user_id, article_id FROM g) GROUP BY 1, 2) x JOIN m ON m.user_id = x.user_id""",
+        "user_events",
+        **_BASE,
+        near=_NEAR.format(20),
+        m="SELECT user_id, sum(cast(round(rating * 1000000) AS bigint)) / count(*) / 1000000 AS mean FROM g GROUP BY 1",
+    ),
+)
 def r14(spark: SparkSession, sf: str) -> DataFrame:
     """Predicted ratings from the twenty nearest users' deviations from their means."""
     r = _ratings(spark, sf)

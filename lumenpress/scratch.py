@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -19,7 +21,9 @@ def shipped(spark: SparkSession) -> None:
     if context is None or context.applicationId in _SHIPPED:
         return
     top = Path(__file__).parent
-    path = Path(tempfile.mkdtemp(prefix="lumenpress-")) / f"{top.name}.zip"
+    folder = tempfile.mkdtemp(prefix="lumenpress-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / f"{top.name}.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(top.rglob("*.py")):
             z.write(f, str(f.relative_to(top.parent)))
@@ -31,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only where the session names none is a temporary folder of this machine made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lumenpress-")
+        own = tempfile.mkdtemp(prefix="lumenpress-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
