@@ -1,4 +1,4 @@
 """All registered queries: importing this module registers them."""
 
-from . import analytics, content, extra, search, streams  # noqa: F401
+from . import analytics, content, extra, lists, search, streams  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
