@@ -91,12 +91,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._keys(t) for t in texts]
-        seen = set().union(*cut)
-        new = [p for p in seen if p not in self.known]
+        get = self.known.get
+        ids = [list(map(get, parts)) for parts in cut]
+        gaps = [[i for i, x in enumerate(found) if x is None] for found in ids]
+        new = list({parts[i] for parts, own in zip(cut, gaps, strict=True) for i in own})
         if new:
-            self._learn(new if len(self.known) <= CACHE else list(seen))
-        get = self.known.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+            self._learn(new)
+            for parts, found, own in zip(cut, ids, gaps, strict=True):
+                for i in own:
+                    found[i] = get(parts[i])
+        return [b"".join(found) for found in ids]
 
 
 def _blocks(text: str) -> Iterator[str]:
