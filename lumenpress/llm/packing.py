@@ -44,6 +44,7 @@ _NUMBERS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
 _PARTS = re.compile(rf"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTERS}{_NUMBERS}]+")
 #: Texts for which Python's and the tokenizer's lower case and white space agree, and normalisation changes nothing.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\u024f]*")
+_ODD = "\x1c\x1d\x1e\x1f"  # white space for Python only
 _ASCII_SPACE = re.compile(r"[\x20\x09-\x0d]+")
 
 
@@ -65,7 +66,7 @@ class Encoder:
 
     def _keys(self, text: str) -> list[str]:
         """The parts of a text; a word that isn't plain stays whole, marked by a character that plain parts never have."""
-        if _PLAIN.fullmatch(text) and not any(t in text for t in self.special):
+        if (not any(c in text for c in _ODD) if text.isascii() else _PLAIN.fullmatch(text)) and not any(t in text for t in self.special):
             return _PARTS.findall(text.lower())
         out = []
         for w in _ASCII_SPACE.split(text):
