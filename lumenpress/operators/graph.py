@@ -47,3 +47,13 @@ def first_keeps(links: DataFrame) -> DataFrame:
         state = saved(d.select("node", kept.alias("kept"), by.alias("by")), "state")
     done = pairs.join(state.filter("kept").select(F.col("node").alias("earlier")), "earlier").groupBy(F.col("later").alias("node")).agg(F.min("earlier").alias("least"))
     return state.join(done, "node", "left").select("node", "kept", F.when(~F.col("kept"), F.col("least")).alias("by"))
+
+
+def first_keeps_sets(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """first_keeps over all members of groups (id, rep, n), where links (a, b) hold between groups by their least member.
+
+    Members of a group are linked to each other and to what their group is linked to, so only the least one can be kept.
+    """
+    first = first_keeps(links).withColumnsRenamed({"node": "rep", "kept": "__kept"})
+    d = groups.join(first, "rep", "left").filter("n > 1 or __kept is not null").withColumn("__kept", F.coalesce("__kept", F.lit(True)))
+    return d.select(F.col("id").alias("node"), (F.col("__kept") & (F.col("id") == F.col("rep"))).alias("kept"), F.when(F.col("__kept") & (F.col("id") != F.col("rep")), F.col("rep")).otherwise(F.col("by")).alias("by"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..scratch import saved
 
 
 def field_count(field: Column, query: Column) -> Column:
@@ -111,6 +112,35 @@ def token_pairs(docs: DataFrame, most: int) -> DataFrame:
     return t.join(o, "token").filter("id < b").select(F.col("id").alias("a"), "b").distinct()
 
 
+def jaccard_links(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """All pairs of docs (id, tokens) whose token sets have a Jaccard similarity of at least ``least``, as two tables.
+
+    Equal sets are put together first: (id, rep, n) has each document's set by its least id, and how many documents
+    have it. The pairs (a, b), a < b, are those of different sets, by their least ids. Documents without tokens are left out.
+
+    No pair is lost: sets of sizes m >= k need ``shared`` = least / (1 + least) * (m + k) equal tokens, so their first
+    m - shared + 1 and k - shared + 1 tokens, rarest first, have one in common.
+    """
+    d = saved(docs.select("id", F.array_sort(F.array_distinct("tokens")).alias("set")).filter(F.size("set") > 0), "token-sets")
+    sets = saved(d.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "token-sets")
+    t = sets.select("rep", F.explode("set").alias("token"))
+    t = t.join(t.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
+    t = t.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("set"))
+    t = saved(t.withColumn("m", F.size("set")), "token-orders")
+    shared = F.ceil(least / (1 + least) * (F.col("m") + F.col("k")) - 1e-9).cast("int")
+
+    def keyed(sizes: Column, *names: str) -> DataFrame:
+        x = t.withColumn("k", F.explode(sizes))
+        x = x.withColumn("token", F.explode(F.slice("set", 1, F.greatest(F.col("m") - shared + 1, F.lit(0)))))
+        return x.select("token", F.greatest("m", "k").alias("longer"), F.least("m", "k").alias("shorter"), *(F.col(c).alias(n) for c, n in zip(("rep", "set"), names, strict=True)))
+
+    long = keyed(F.sequence(F.greatest(F.ceil(least * F.col("m") - 1e-9).cast("int"), F.lit(1)), F.col("m")), "p", "ps")
+    short = keyed(F.sequence(F.col("m"), F.floor(F.col("m") / least + 1e-9).cast("int")), "q", "qs")
+    both = long.join(short, ["token", "longer", "shorter"]).filter("p < q or (p > q and longer > shorter)").filter(jaccard(F.col("ps"), F.col("qs")) >= least)
+    pairs = both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    return d.join(sets, "set").select("id", "rep", "n"), pairs
+
+
 def minhash_sha1(shingles: Column, permutations: int = 96) -> Column:
     """Signature of seeded SHA-1: per seed the least of the first 32 bits over the shingles."""
     source = F.when(F.size(shingles) > 0, shingles).otherwise(F.array(F.lit("__empty__")))

@@ -242,7 +242,8 @@ def d08(spark: SparkSession, sf: str) -> DataFrame:
 @query("d09_first_keeps")
 def d09(spark: SparkSession, sf: str) -> DataFrame:
     """Articles that repeat an earlier kept one: going through ids in order, each linked to the least kept one."""
-    return G.first_keeps(_title_links(spark, sf))
+    d = T.articles(spark, sf).select("id", X.dedupe_tokens(F.col("title")).alias("tokens"))
+    return G.first_keeps_sets(*V.jaccard_links(d, 0.5))
 
 
 def _title_links(spark: SparkSession, sf: str) -> DataFrame:
