@@ -32,9 +32,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 
-#: Candidates of the battery: maximal runs of token characters with a digit among them, and their padding; an inner "=" parts
-#: runs. Each run is looked at once, from its start.
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?"
+#: Candidates of the battery: maximal runs of token characters, and their padding; an inner "=" parts runs. Each run is looked at once, from its start.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?"
 #: Per encoding: alphabet size and the least length at which the tests can tell.
 LEAST = {"digits": (10, 24), "hex": (16, 24), "base32": (32, 20), "alnum": (62, 20), "base64": (64, 20)}
 FDR = 0.01
@@ -79,7 +78,7 @@ def joined(spans: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Token runs with a digit that no base span touches."""
+    """Token runs that no base span touches."""
     return F.filter(located(text, TOKEN), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
 
 

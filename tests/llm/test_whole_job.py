@@ -30,3 +30,12 @@ def test_values_after_an_equals_sign(spark):
     assert added(spark, texts) == [{v} for v in values]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.text for r in secrets.redact(d).collect()} == {k: f"set {n}=[secret] here" for k, n in enumerate(names)}
+
+
+def test_random_letters_and_long_words(spark):
+    rng = random.Random(12)
+    keys = [drawn(rng, n, string.ascii_letters) for n in (20, 24, 28) for _ in range(40)]
+    names = ["_".join(drawn(rng, rng.randint(3, 8), string.ascii_lowercase) for _ in range(5)) for _ in range(100)] + ["-" * 40, "internationalisierungsfragen", "x" * 50]
+    got = added(spark, [f"see {t} end" for t in keys + names])
+    assert sum(map(bool, got[: len(keys)])) >= 0.9 * len(keys)
+    assert not any(got[len(keys) :])
