@@ -147,11 +147,11 @@ def battery(tokens: DataFrame) -> DataFrame:
     )
     # runs above and below the middle
     high = F.transform("r", lambda x: (x * 2 >= F.col("k")).cast("int"))
-    changes = F.aggregate(F.zip_with(high, F.slice(high, 2, 1_000_000), lambda a, b: F.coalesce((a != b).cast("int"), F.lit(0))), F.lit(0), lambda acc, x: acc + x)
+    changes = F.aggregate(F.zip_with(high, F.slice(high, 2, F.greatest(F.size(high) - 1, F.lit(0))), lambda a, b: F.coalesce((a != b).cast("int"), F.lit(0))), F.lit(0), lambda acc, x: acc + x)
     runs_z = (changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
     # serial correlation of ranks, under uniform ranks: mean 0, variance 1 / n
     mid, var = (F.col("k") - 1) / 2, (F.pow(F.col("k"), F.lit(2.0)) - 1) / 12
-    serial = F.aggregate(F.zip_with("r", F.slice("r", 2, 1_000_000), lambda a, b: F.coalesce((a - mid) * (b - mid), F.lit(0.0))), F.lit(0.0), lambda acc, x: acc + x)
+    serial = F.aggregate(F.zip_with("r", F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), lambda a, b: F.coalesce((a - mid) * (b - mid), F.lit(0.0))), F.lit(0.0), lambda acc, x: acc + x)
     serial_z = serial / var / F.sqrt(n - 1)
     d = d.withColumns({"p_symbols": _chi2_tail(F.greatest(chi, F.lit(0.0)), F.col("k") - 1), "p_classes": class_p, "p_runs": _normal_tail(runs_z), "p_serial": _normal_tail(serial_z)})
     return d.withColumn("p", F.least(F.lit(1.0), 4 * F.least("p_symbols", "p_classes", "p_runs", "p_serial"))).drop("r", "k")

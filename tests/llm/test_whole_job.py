@@ -39,3 +39,9 @@ def test_random_letters_and_long_words(spark):
     got = added(spark, [f"see {t} end" for t in keys + names])
     assert sum(map(bool, got[: len(keys)])) >= 0.9 * len(keys)
     assert not any(got[len(keys) :])
+
+
+def test_runs_of_over_a_million_characters(spark):
+    token = drawn(random.Random(13), 1_100_000)
+    r = secrets.battery(spark.createDataFrame([(token,)], "token string")).first()
+    assert r["length"] == len(token) and min(r.p_runs, r.p_serial) > 0.001
