@@ -13,8 +13,8 @@ moments of those rows. Only per-group rows (one per language and source) are eve
 integers, so the result doesn't depend on partitions or order.
 
 Defined cases: null or empty text has no words and fails the base rule. Null languages and sources are
-groups of their own. Groups with fewer than MIN_GROUP rows are pooled by language, then over all; a pool
-that is still smaller gets no estimate and its documents are kept. A statistic that most of a group share
+groups of their own. Groups with fewer than MIN_GROUP rows are judged by an estimate from all rows of their
+language, in languages with fewer by one from all rows; if these are fewer there is no estimate and documents are kept. A statistic that most of a group share
 exactly (no symbols, no repeats) gets a minimum scale, so a zero variance never rejects. Repeated rows each
 get the same verdict.
 """
@@ -210,11 +210,13 @@ def fit_mcd(rows: DataFrame, min_group: int = MIN_GROUP) -> tuple[DataFrame, Dat
     scales, centre and Cholesky factor. Both are written tables with one row per group.
     """
     n = rows.groupBy("lk", "sk").agg(F.count(F.lit(1)).alias("n"))
-    n = n.withColumn("pool", F.when(F.col("n") >= min_group, F.concat("lk", F.lit("\x01"), "sk")))
-    small = n.filter(F.col("pool").isNull()).groupBy("lk").agg((F.sum("n") >= min_group).alias("enough"))
-    groups = n.join(small, "lk", "left").select("lk", "sk", F.coalesce("pool", F.when(F.col("enough"), F.col("lk")), F.lit("*")).alias("g"))
+    n = n.join(n.groupBy("lk").agg((F.sum("n") >= min_group).alias("enough")), "lk")
+    own = F.concat("lk", F.lit("\x01"), "sk")
+    groups = n.select("lk", "sk", F.when(F.col("n") >= min_group, own).when(F.col("enough"), F.col("lk")).otherwise(F.lit("*")).alias("g"))
     groups = saved(groups, "mcd-groups")
-    d = rows.join(groups, ["lk", "sk"])
+    # a pool that serves any group is fitted to all rows of its language, or to all rows
+    pools = groups.select("lk", "sk", F.explode(F.array(own, F.col("lk"), F.lit("*"))).alias("g")).join(groups.select("g").distinct(), "g", "left_semi")
+    d = rows.join(pools, ["lk", "sk"])
     med = saved(d.groupBy("g").agg(*(F.percentile(f"q{j}", 0.5).alias(f"med{j}") for j in range(P))), "mcd-medians")
     spread = d.join(med, "g").groupBy("g").agg(F.count(F.lit(1)).alias("pool_n"), *(F.percentile(F.abs(_deviation(j)), 0.5).alias(f"mad{j}") for j in range(P)))
     scale = [F.greatest(1.4826 * F.col(f"mad{j}"), F.lit(FLOOR[j] * STEP[j])).alias(f"scale{j}") for j in range(P)]

@@ -45,3 +45,16 @@ def test_runs_of_over_a_million_characters(spark):
     token = drawn(random.Random(13), 1_100_000)
     r = secrets.battery(spark.createDataFrame([(token,)], "token string")).first()
     assert r["length"] == len(token) and min(r.p_runs, r.p_serial) > 0.001
+
+
+def test_small_groups_are_judged_by_their_language_then_by_all(spark):
+    rng = random.Random(14)
+    prose = lambda n: " ".join(drawn(rng, rng.randint(2, 8), string.ascii_lowercase) for _ in range(n))
+    junk = lambda: " ".join(w + "#$%" for w in prose(200).split())
+    rows = [(k, prose(rng.randint(20, 400)), "en", "large") for k in range(200)]
+    rows += [(1000 + k, prose(rng.randint(20, 400)), "en", "small") for k in range(20)] + [(1100, junk(), "en", "small")]
+    rows += [(2000 + k, prose(rng.randint(20, 400)), "de", "rare") for k in range(5)] + [(2100, junk(), "de", "rare")]
+    d = quality.robust_outliers(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(d) == len(rows) and all(r.d2 is not None for r in d)
+    kept = {r.doc_id: r.kept for r in d}
+    assert not kept[1100] and not kept[2100] and sum(not v for v in kept.values()) <= 4
