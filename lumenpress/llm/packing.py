@@ -42,9 +42,10 @@ _LETTERS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
 #: How the tokenizer cuts texts into parts (contractions, letters, single numbers, the rest), for texts in Latin letters.
 _PARTS = re.compile(rf"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTERS}{_NUMBERS}]+")
-#: Texts for which Python's and the tokenizer's lower case and white space agree, and normalisation changes nothing.
-_PLAIN = re.compile(r"[\x00-\x1b\x20-\u024f]*")
 _ODD = "\x1c\x1d\x1e\x1f"  # white space for Python only
+#: Texts for which Python's and the tokenizer's lower case and white space agree, and normalisation changes nothing:
+#: of characters whose lower case has only letters of the patterns above (or the dot that a capital dotted I leaves).
+_PLAIN = re.compile(f"[{re.escape(''.join(c for c in _LATIN if c not in _ODD and all(x < chr(0x250) or x == chr(0x307) for x in c.lower())))}]*")
 _ASCII_SPACE = re.compile(r"[\x20\x09-\x0d]+")
 
 

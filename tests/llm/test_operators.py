@@ -379,6 +379,10 @@ def test_encoder_equals_tokenizer(tokenizer, monkeypatch):
         for _ in range(20):
             texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(60)]
             assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    latin = [chr(k) for k in range(1, 0x250)]
+    texts = [t for c in latin for t in (c, f"a{c}b", f"{c}li g{c}ldi {c}", f"x {c}{c} '{c}s")]
+    texts += ["".join(rng.choice(latin) for _ in range(rng.randint(1, 30))) for _ in range(2000)] + ["Əli gəldi", "Ɛwe", "Ɔkyeame Ɗan", "İstanbul I ı i"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     monkeypatch.setattr(packing, "BLOCK", 50)
     long = prose(rng, 500)
     assert b"".join(x for b in packing._blocks(long) for x in e.encode([b])) == e.encode([long])[0]
