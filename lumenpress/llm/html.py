@@ -2,19 +2,24 @@
 
 Every page's containers are scored; the best one's path, as tags and generalised classes, is the page's vote for
 its host. Votes are counted in Spark, and each page is extracted again from the container on its host's winning
-path. A page without that path is extracted from its own best container.
+path. A page without that path, or with too little of its text there, is extracted from its own best container.
 
-A page is scanned once per pass as a flat list of tags; text is never parsed into a tree of objects.
+A page is scanned as a flat list of tags; text is never parsed into a tree of objects.
 
 * Dropped anywhere: scripts, styles, menus, footers, sidebars, forms, embedded objects, comments of the markup,
   and elements whose class, id or role says menu, advert, notice, sharing, related pages or reader comments.
-* A header is dropped unless it stands inside the article.
+* A header is dropped unless it stands inside the article. Figure captions are text like other text.
+* The score of a container is its share of the page's text outside of links. The best container is the article or
+  main element with most of that text, else the lowest box that holds nearly all of it, and from which no paragraph
+  of the box around it is left out.
+* A "<" that opens no well-formed tag is text.
 * Blocks end at block-level tags and line breaks. Character references are decoded, white space within a block
   becomes one space, blocks are trimmed, empty ones left out, and the rest joined by line ends.
 
 Defined cases: null or empty html, or a page without text outside of dropped elements, gives an empty text.
-Cut-off pages, unclosed and stray tags are read as far as they go. Repeated pages vote each. A null url, or one
-without a host, votes under the empty host.
+Cut-off pages, unclosed and stray tags are read as far as they go. Repeated pages vote each; equal votes go to the
+first path by name. A null url, or one without a host, votes under the empty host. Very long pages take memory in
+proportion to the page. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,40 +29,56 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import packed, saved, unpacked
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: A comment, a declaration, or a tag with its attributes; quotes count only after an equals sign.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(>?)",
+    re.S,
+)
 _RAW = {x: re.compile(rf"</{x}\s*(?:>|\Z)", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")}
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-_DROPPED = {"nav", "footer", "aside", "form", "head", "button", "select", "svg", "object", "figcaption", "menu", "dialog", "canvas", "audio", "video", "math"}
+_DROPPED = {"nav", "footer", "aside", "form", "head", "button", "select", "svg", "object", "menu", "dialog", "canvas", "audio", "video"}
 #: Elements kept on the stack: those that can hold the main text, or are dropped whole.
 _BOXES = {"html", "body", "main", "article", "section", "div", "td", "tr", "table", "tbody", "center", "header", "ul", "ol", "dl", "blockquote", "figure", "details"}
 _BLOCKS = _BOXES | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "br", "hr", "th", "caption", "thead", "tfoot", "address", "summary", "fieldset", "legend", "figcaption"}
 _ROOTS = {"html", "body"}
+#: Elements whose text directly in a box makes the box itself part of the article.
+_PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "caption", "figcaption", "summary"}
+#: Elements that the next one of their kind ends.
+_ENDED = {"p", "li", "dt", "dd"}
+#: Tag names that prose after a "<" is told from.
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "map", "mark", "math", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture", "option", "optgroup", "input", "output", "progress", "meter", "hgroup", "colgroup", "frame", "frameset"}
+#: Names that only tell about something else on the page, or about the article's own head.
+_ABOUT_OTHERS = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:has|with|no|without)[_-][\w-]+|(?:entry|post|article|story|content)[_-]header)(?=$|\s)", re.I)
 _BAD = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adbox|banner|banners|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay"
     r"|sidebar|side-bar|aside|rail|widget|widgets|menu|menus|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|toolbar|topbar|masthead|site-header|page-header|header|footer|site-footer"
-    r"|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|search|tags|comment|comments|commentlist|disqus|respond|replies|reply|discussion|reactions|copyright|skip)(?:$|[\s_-])",
+    r"|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|search|tags|comment|comments|commentlist|disqus|respond|replies|reply|discussion|reactions|copyright|skip)(?=$|[\s_-])",
     re.I,
 )
 _BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 _DIGITS = re.compile(r"\d+")
-_HOST = re.compile(r"^.*?://([^/?#]*)", re.S)
 DEPTH = 12
+#: Share of a page's text that its best container holds: any box, and an article or main element.
+NEARLY, MOST = 0.98, 0.5
+#: The host's path is used where it holds this share of the best container's text, or FEW if it has several blocks.
+ENOUGH, FEW = 0.5, 0.15
 
 
 class _Box:
-    __slots__ = ("tag", "path", "drop", "direct", "below", "links", "blocks")
+    __slots__ = ("tag", "path", "drop", "up", "good", "paragraphs")
 
-    def __init__(self, tag: str, path: str, drop: bool):
-        self.tag, self.path, self.drop = tag, path, drop
-        self.direct = self.below = self.links = self.blocks = 0
+    def __init__(self, tag: str, path: str, drop: bool, up: _Box | None):
+        self.tag, self.path, self.drop, self.up = tag, path, drop, up
+        self.good = self.paragraphs = 0  # characters directly in the box, outside of links; of these in paragraphs
 
 
 def _attributes(raw: str) -> tuple[str, str, bool]:
@@ -74,25 +95,41 @@ def _attributes(raw: str) -> tuple[str, str, bool]:
             about += " " + value
         elif name == "role":
             off |= value.lower() in _BAD_ROLES
-        elif name == "hidden" and not value or name == "aria-hidden" and value == "true":
+        elif name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value.lower() == "true":
             off = True
     return classes, about, off
 
 
+def _bad(about: str) -> bool:
+    return bool(about) and bool(_BAD.search(about)) and bool(_BAD.search(_ABOUT_OTHERS.sub("", about)))
+
+
+def _is_tag(m: re.Match, end: int) -> bool:
+    """Whether what looks like a tag is one, and not prose after a "<"."""
+    if m[4]:
+        return True
+    tag, rest = m[2].lower(), m[3].strip()
+    known = tag in _BLOCKS or tag in _DROPPED or tag in _VOID or tag in _RAW or tag in _INLINE
+    return known and ("=" in rest or not rest and tag in _BLOCKS or m.end() == end and len(rest.split()) < 2)
+
+
 def _general(tag: str, classes: str) -> str:
     """A path step: the tag with its classes in order of name, numbers made alike."""
     return ".".join([tag, *sorted({_DIGITS.sub("0", c.lower()) for c in classes.split()})])
 
 
 def scan(page: str, want: str | None = None) -> tuple[list[_Box], list[str]]:
-    """All boxes of a page in order of their start, and the blocks of the text inside boxes on path ``want``."""
-    root = _Box("", "", False)
+    """All boxes of a page in order of their start, and the blocks of the text inside boxes on path ``want``.
+
+    The first box is the page itself, with an empty path.
+    """
+    root = _Box("", "", False, None)
     stack, boxes, blocks = [root], [root], []
     texts: list[str] = []
-    inside = 0  # how many open boxes are on the wanted path
+    inside = int(want == "")  # how many open boxes are on the wanted path
     drops = 0  # how many open boxes are dropped
-    ignored: list[str] = []  # open dropped elements that are no boxes
-    link = False
+    ignored: list[str] = []  # a dropped element that is no box, and what is open inside it
+    link, kind = False, ""
     at, end = 0, len(page)
 
     def text(lo: int, hi: int) -> None:
@@ -101,11 +138,11 @@ def scan(page: str, want: str | None = None) -> tuple[list[_Box], list[str]]:
             if inside:
                 texts.append(raw)
             n = len(raw.strip())
-            if n:
+            if n and not link:
                 box = stack[-1]
-                box.direct += n
-                if link:
-                    box.links += n
+                box.good += n
+                if kind in _PARAGRAPHS:
+                    box.paragraphs += n
 
     def block() -> None:
         if texts:
@@ -114,32 +151,40 @@ def scan(page: str, want: str | None = None) -> tuple[list[_Box], list[str]]:
             if line:
                 blocks.append(line)
 
+    from_ = 0
     while at < end:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, from_)
         if not m:
             text(at, end)
             break
-        text(at, m.start())
-        at = m.end()
         tag = m[2]
+        if tag is not None and not _is_tag(m, end):
+            from_ = m.start() + 1
+            continue
+        text(at, m.start())
+        at = from_ = m.end()
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "a":
+            if tag == "a" or tag in _BLOCKS:
                 link = False
             if ignored:
                 if tag in ignored:
                     del ignored[len(ignored) - 1 - ignored[::-1].index(tag) :]
-                continue
+                    continue
+                if tag not in _BOXES or not any(x.tag == tag for x in stack):
+                    continue
+                ignored.clear()  # the box around it ends, so it ends too
             if tag in _BLOCKS:
                 block()
+                kind = ""
             if tag in _BOXES or tag in _DROPPED:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
                         for x in stack[k:]:
                             drops -= x.drop
-                            inside -= want is not None and x.path == want and not x.drop
+                            inside -= bool(want) and x.path == want and not x.drop
                         del stack[k:]
                         break
             continue
@@ -147,30 +192,33 @@ def scan(page: str, want: str | None = None) -> tuple[list[_Box], list[str]]:
             if not ignored and tag in _BLOCKS:
                 block()
             close = _RAW[tag].search(page, at)
-            at = close.end() if close else end
+            at = from_ = close.end() if close else end
             continue
+        if ignored and len(ignored) == 1 and ignored[0] in _ENDED and (tag == ignored[0] or ignored[0] == "p" and tag in _BLOCKS and tag != "br"):
+            ignored.clear()
         if ignored:
-            if tag == ignored[-1] and not m[3].endswith("/"):
+            if (tag == ignored[-1] or tag in _BOXES) and not m[3].endswith("/"):
                 ignored.append(tag)
             continue
         if tag in _BLOCKS:
             block()
+            kind = tag if tag not in _VOID else kind
         if tag == "a":
             link = True
         if tag in _VOID or tag not in _BOXES and tag not in _DROPPED and not m[3]:
             continue
         classes, about, off = _attributes(m[3])
-        bad = off or tag in _DROPPED or (tag not in _ROOTS and tag not in ("article", "main") and bool(about) and bool(_BAD.search(about)))
+        bad = off or tag in _DROPPED or (tag not in _ROOTS and tag not in ("article", "main") and _bad(about))
         if tag == "header" and not bad:
             bad = not any(x.tag in ("article", "main") for x in stack)
         if tag in _BOXES:
             if len(stack) > 400:  # deeper boxes count as their parent
                 continue
-            box = _Box(tag, "/".join([*stack[-1].path.split("/")[-DEPTH + 1 :], _general(tag, classes)]).lstrip("/"), bad)
+            box = _Box(tag, "/".join([*stack[-1].path.split("/")[-DEPTH + 1 :], _general(tag, classes)]).lstrip("/"), bad, stack[-1])
             stack.append(box)
             boxes.append(box)
             drops += bad
-            inside += want is not None and box.path == want and not bad
+            inside += bool(want) and box.path == want and not bad
         elif bad and not m[3].rstrip().endswith("/"):
             block()
             ignored.append(tag)
@@ -178,68 +226,76 @@ def scan(page: str, want: str | None = None) -> tuple[list[_Box], list[str]]:
     return boxes, blocks
 
 
-def best_path(page: str) -> tuple[str | None, float]:
-    """The path of the page's best container, and its score.
-
-    Text that stands in a box or its paragraphs counts whole for the box, half for the box around it, a quarter
-    for the next; text in links counts against it. Articles and main elements are preferred to plain boxes.
-    """
-    boxes, _ = _scored(page)
-    best, top = None, 0.0
-    for box in boxes:
-        if box.drop or not box.path:
+def _held(boxes: list[_Box]) -> tuple[dict[str, int], dict[str, _Box], dict[str, set[str]]]:
+    """Per path: the text its boxes hold with all inside them, its first box, and the paths of the boxes in them."""
+    whole = {id(b): b.good for b in boxes}
+    for b in reversed(boxes):
+        if b.up is not None:
+            whole[id(b.up)] += whole[id(b)]
+    held: dict[str, int] = {}
+    first: dict[str, _Box] = {}
+    below: dict[str, set[str]] = {}
+    for b in boxes:
+        if b.drop:
             continue
-        score = box.below - 1.5 * box.links
-        score *= 1.5 if box.tag in ("article", "main") else 0.8 if box.tag in _ROOTS else 1.0
-        if score > top:
-            best, top = box.path, score
-    return best, top
-
-
-def _scored(page: str) -> tuple[list[_Box], list[str]]:
-    boxes, blocks = scan(page)
-    by_path: dict[str, _Box] = {}
-    for box in boxes:  # boxes of one path score together
-        if box.path in by_path:
-            by_path[box.path].direct += box.direct
-            by_path[box.path].links += box.links
-        else:
-            by_path[box.path] = box
-    for path, box in by_path.items():
-        share, p = 1.0, path
-        while p and share > 0.2:
-            if p in by_path:
-                by_path[p].below += share * box.direct
-            share /= 2
-            p = p.rpartition("/")[0]
-    return list(by_path.values()), blocks
+        if b.path not in first:
+            first[b.path] = _Box(b.tag, b.path, False, b.up)
+        first[b.path].paragraphs += b.paragraphs
+        up, same = b.up, False
+        if b.path.count("/") == DEPTH - 1:  # only paths cut off at the top can recur inside themselves
+            while up is not None and not same:
+                same, up = up.path == b.path, up.up
+        if not same:
+            held[b.path] = held.get(b.path, 0) + whole[id(b)]
+            if b.up is not None:
+                below.setdefault(b.up.path, set()).add(b.path)
+    return held, first, below
+
+
+def _best(boxes: list[_Box]) -> tuple[str | None, dict[str, int]]:
+    held, first, below = _held(boxes)
+    total = held.get("", 0)
+    if not total:
+        return None, held
+    named = [p for p, n in held.items() if first[p].tag in ("article", "main") and n >= MOST * total]
+    at = max(named, key=lambda p: (p.count("/"), held[p], p)) if named else ""
+    while first[at].tag != "article":
+        # a cut-off path can lead back to itself, so the way down is only to paths with less text or more steps
+        down = [p for p in below.get(at, ()) if held[p] >= NEARLY * held[at] and (held[p] < held[at] or p.count("/") > at.count("/") or not at)]
+        if not down or first[at].paragraphs and first[at].tag not in _ROOTS:
+            break
+        at = max(down, key=lambda p: (held[p], p))
+    return at, held
+
+
+def best_path(page: str) -> tuple[str | None, float]:
+    """The path of the page's best container (empty for the page itself), and the share of the page's text it holds."""
+    path, held = _best(scan(page)[0])
+    return (None, 0.0) if path is None else (path, held[path] / held[""])
 
 
 def extract(page: str | None, path: str | None) -> str:
-    """The text in the containers on this path, or in the page's best container if it has none of them."""
+    """The text in the containers on this path, or in the page's best container if they have too little of it."""
     if not page:
         return ""
-    if path:
-        blocks = scan(page, path)[1]
-        if blocks:
-            return "\n".join(blocks)
-    own, _ = best_path(page)
-    # text that no container holds is read as if the page were its body
-    return "\n".join(scan(page, own)[1] if own else scan(f"<body>{page}", "body")[1])
-
-
-def host_of(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m[1].lower() if m else ""
+    path = path or None
+    boxes, blocks = scan(page, path)
+    own, held = _best(boxes)
+    if own is None:  # all text is in links, or there is none
+        return "\n".join(blocks or scan(page, "")[1])
+    share = held.get(path, 0) / held[own] if path else 0
+    if path == own or share >= ENOUGH or share >= FEW and len(blocks) > 1:
+        return "\n".join(blocks)
+    return "\n".join(scan(page, own)[1])
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         hosts, paths = [], []
-        for url, page in zip(b.column("url"), b.column("html"), strict=True):
+        for host, page in zip(b.column("host"), b.column("html"), strict=True):
             path, _ = best_path(page.as_py() or "")
             if path:
-                hosts.append(host_of(url.as_py()))
+                hosts.append(host.as_py())
                 paths.append(path)
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], names=["host", "path"])
 
@@ -252,9 +308,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "text", "n_chars"])
 
 
+def _host(url: str) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+
+
 def winning_paths(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Per host the path with most votes, ties to the first by name: (host, path, votes). A written table."""
-    votes = df.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(_vote, "host string, path string")
+    votes = df.select(_host(url).alias("host"), F.col(html).alias("html")).mapInArrow(_vote, "host string, path string")
     counts = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
     best = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
     return saved(counts.withColumn("rank", best).filter("rank = 1").drop("rank"), "host-paths")
@@ -264,8 +324,7 @@ def main_text(df: DataFrame, url: str = "url", html: str = "html", carry: list[s
     """The carried columns with text and n_chars. paths: winners from earlier pages, else those of df."""
     carry = [c for c in df.columns if c != html] if carry is None else carry
     paths = winning_paths(df, url, html) if paths is None else paths
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    rows = df.select(packed(carry), F.col(html).alias("html"), host.alias("of"))
+    rows = df.select(packed(carry), F.col(html).alias("html"), _host(url).alias("of"))
     d = rows.join(paths.select("host", "path"), F.col("of") == F.col("host"), "left").select("row", "html", "path")
     kinds = T.StructType([d.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return d.mapInArrow(_extract, kinds).select(*unpacked(carry, "text", "n_chars"))

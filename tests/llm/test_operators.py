@@ -172,6 +172,56 @@ def test_consensus_paths(spark):
     assert html.main_text(spark.createDataFrame([], d.schema)).count() == 0
 
 
+def own(page: str) -> str:
+    return html.extract(page, html.best_path(page)[0])
+
+
+LONG = "A sentence of the article that is long enough to count for much. " * 8
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # values of attributes aren't names, and names count whole
+        (f'<body><div class="content" style="overflow: hidden"><p>{LONG}</p></div><div class="x"><p>teaser</p></div>', LONG.strip()),
+        ('<body><div class="c"><p title="the hidden gem">one two</p><p data-id="comments">three</p></div>', "one two\nthree"),
+        ('<div data-id="comments"><p>the article</p></div>', "the article"),
+        ("<div><p>shown</p><p hidden>not shown</p><p aria-hidden='true'>nor this</p></div>", "shown"),
+        # an article over two boxes
+        (f'<body><div class="wrap"><div class="intro"><p>The intro, one line.</p></div><div class="body"><p>{LONG}</p></div></div></body>', f"The intro, one line.\n{LONG.strip()}"),
+        (f'<div class="wrap"><h1>Head</h1><div class="body"><p>{LONG}</p></div></div>', f"Head\n{LONG.strip()}"),
+        (f"<body><main><p>Lead</p><article><header class='entry-header'><h1>H</h1></header><p>{LONG}</p></article></main><div><p>other</p></div>", f"H\n{LONG.strip()}"),
+        # prose with a less-than sign
+        ("<p>x <y is fine</p><p>it's 3 <4 and a<b</p>", "x <y is fine\nit's 3 <4 and a<b"),
+        ("<p>end <y is fine", "end <y is fine"),
+        ("<p>cut off<div cla", "cut off"),
+        ("<p>cut off<a href='x", "cut off"),
+        ("<p>it isn't <b class=x>bold</b> or 'so'</p>", "it isn't bold or 'so'"),
+        # dropped elements that aren't closed, and names that tell of others
+        ("<div><p class='ad'>Buy<p>Text stays</div>", "Text stays"),
+        ("<div><div><span class='ad'>Buy</div><p>Text stays</p></div>", "Text stays"),
+        (f"<body class='has-sidebar'><div class='with-sidebar'><p>{LONG}</p></div><div class='sidebar'>s</div>", LONG.strip()),
+        ("<article><figure><img src=x><figcaption>The caption</figcaption></figure><p>t</p></article>", "The caption\nt"),
+        ("stray <div><p>text</p></div> end", "stray\ntext\nend"),
+        ("<body><a href='x'>only a link</a></body>", "only a link"),
+    ],
+)
+def test_main_text_cases(page, text):
+    assert own(page) == text
+
+
+def test_a_short_box_on_the_hosts_path_is_not_the_article(spark):
+    rows = [(k, "http://h.org", f"<div class='post'><p>{LONG}</p></div>") for k in range(4)]
+    rows += [(9, "http://h.org", f"<div class='post'><p>One line only, not long.</p></div><div class='story'><p>{LONG}</p><p>{LONG}</p></div>")] * 2
+    rows += [(20, "http://tie.org", f"<div class='b'><p>{LONG}</p></div>"), (21, "http://tie.org", f"<div class='a'><p>{LONG}</p></div>"), (22, "http://tie.org", "<p>" + "w &amp; " * 200_000)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html.main_text(d)
+    text = {r.page_id: r.text for r in got.collect()}
+    assert got.count() == len(rows) and text[9] == "\n".join(["One line only, not long."] + [LONG.strip()] * 2)
+    assert text[20] == text[21] == LONG.strip() and text[22] == ("w & " * 200_000).strip()
+    assert {r.host: r.path for r in html.winning_paths(d).collect()} == {"h.org": "div.post", "tie.org": "div.a"}
+
+
 def test_scanner_never_fails():
     rng = random.Random(11)
     parts = ["<div class='a1'>", "</div>", "<p", ">", "<", "&amp", "&#x41;", "text ", "<!--", "-->", "<script>", "</script>", "<a href='", "'", '"', "</p>", "<br/>", "<nav>", "</nav>", "<article>", "<td>", "\x00", "<svg/>"]
