@@ -9,6 +9,9 @@ chunk one address, the smallest of its copies', so no chunk bytes are ever shuff
 GARBAGE of the bytes belong to chunks kept elsewhere are rewritten without them. A media row is the ordered list
 of its chunks' addresses; reading fetches the byte ranges, checks every digest, and puts the file together.
 
+Every attempt of a task writes packs of its own names, which its rows carry, so a repeated attempt can't change
+what the lists point to; packs of attempts that didn't count are deleted.
+
 Defined cases: null text is an empty payload, which is padded like any other. Repeated rows are rows of
 their own that share all chunks. Payloads of any length are cut and written in bounded memory beside the
 payload itself.
@@ -24,13 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import packed, saved, scratch_path, unpacked
-from .store import opened, put, remove
+from .store import attempt_name, delete, new_run, opened, parts_for, put, sweep
 
 UNIT = 192
 MIN, MAX, MASK = 1024, 32768, (1 << 12) - 1
@@ -38,6 +40,7 @@ PACK_BYTES = 64 << 20
 GARBAGE = 0.25
 RATE = 8000
 WINDOW = 32
+SUFFIX = ".pack"
 
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(bytes([k])).digest()[:4] for k in range(256)), "<u4")
 
@@ -107,19 +110,19 @@ def feature(samples: bytes) -> str:
     return f"mean={mean:.4f};spread={spread:.4f};crossings={crossings};entropy={-(p * np.log2(p)).sum():.4f}"
 
 
-def _writer(folder: str):
+def _writer(folder: str, run: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         state: dict = {"n": 0, "blocks": [], "size": 0, "have": {}}
-        task = None
+        attempt = ""
 
         def flush() -> None:
             if state["blocks"]:
-                put(f"{folder}/{task:06d}-{state['n']:05d}.pack", state["blocks"])
+                put(f"{folder}/{attempt}-{state['n']:05d}{SUFFIX}", state["blocks"])
             state.update(n=state["n"] + 1, blocks=[], size=0, have={})
 
         for b in batches:
-            task = TaskContext.get().partitionId()
+            attempt = attempt or attempt_name(run)
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 out: dict[str, list] = {k: [] for k in ("n_bytes", "media_bytes", "media_sha256", "chunks")}
@@ -131,7 +134,7 @@ def _writer(folder: str):
                         digest = hashlib.sha256(chunk).digest()
                         if digest not in state["have"]:
                             z = packer.compress(chunk)
-                            state["have"][digest] = (f"{task:06d}-{state['n']:05d}", state["size"], len(z))
+                            state["have"][digest] = (f"{attempt}-{state['n']:05d}", state["size"], len(z))
                             state["blocks"].append(z)
                             state["size"] += len(z)
                         pack, offset, size = state["have"][digest]
@@ -144,8 +147,7 @@ def _writer(folder: str):
                     if state["size"] >= PACK_BYTES:
                         flush()
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(out["n_bytes"], pa.int64()), pa.array(out["media_bytes"], pa.int64()), pa.array(out["media_sha256"], pa.string()), pa.array(out["chunks"], pa.list_(_CHUNK))], names=["row", *out])
-        if task is not None:
-            flush()
+        flush()
 
     return write
 
@@ -162,7 +164,9 @@ def write_media(df: DataFrame, raw: Column, carry: list[str], folder: str) -> Da
     rows = df.select(packed(carry), raw.alias("raw"))
     names = f"n_bytes bigint, media_bytes bigint, media_sha256 string, chunks array<{_CHUNK_SQL}>"
     kinds = T.StructType([rows.schema["row"], *T.StructType.fromDDL(names).fields])
-    written = saved(rows.mapInArrow(_writer(folder), kinds).withColumn("at", F.monotonically_increasing_id()), "media")
+    run = new_run()
+    written = saved(rows.mapInArrow(_writer(folder, run), kinds).withColumn("at", F.monotonically_increasing_id()), "media")
+    sweep(folder, run, written.select(F.explode("chunks.pack")), SUFFIX)
     each = written.select("at", F.posexplode("chunks").alias("place", "c")).select("at", "place", "c.*")
     address = F.struct("pack", "offset", "size")
     copies = each.select("digest", address.alias("a")).groupBy("digest").agg(F.min("a").alias("a"), F.count_distinct("a").alias("n"))
@@ -183,12 +187,13 @@ def compact(lists: DataFrame, folder: str, garbage: float = GARBAGE) -> DataFram
     once the new lists are written.
     """
     used = lists.select(F.explode("chunks").alias("c")).select("c.pack", "c.offset", "c.size").distinct()
+    run = new_run()
     ranges = used.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("offset", "size"))).alias("ranges"))
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for pack, own in zip(b.column("pack").to_pylist(), b.column("ranges").to_pylist(), strict=True):
-                files, path = opened(f"{folder}/{pack}.pack")
+                files, path = opened(f"{folder}/{pack}{SUFFIX}")
                 size = files.get_file_info(path).size
                 if sum(r["size"] for r in own) >= (1 - garbage) * size:
                     continue
@@ -199,21 +204,21 @@ def compact(lists: DataFrame, folder: str, garbage: float = GARBAGE) -> DataFram
                             f.seek(r["offset"])
                             yield f.read(r["size"])
 
-                    put(f"{folder}/{pack}-c.pack", parts())
+                    new = f"{pack}-{attempt_name(run)}"
+                    put(f"{folder}/{new}{SUFFIX}", parts())
                 to = np.cumsum([0] + [r["size"] for r in own])[:-1].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([pack] * len(own)), pa.array([r["offset"] for r in own]), pa.array(to, pa.int64())], names=["pack", "offset", "to"])
+                yield pa.RecordBatch.from_arrays([pa.array([pack] * len(own)), pa.array([r["offset"] for r in own]), pa.array([new] * len(own)), pa.array(to, pa.int64())], names=["pack", "offset", "new", "to"])
 
-    moved = saved(ranges.mapInArrow(copy, "pack string, offset bigint, to bigint"), "media-moved")
+    moved = saved(ranges.mapInArrow(copy, "pack string, offset bigint, new string, to bigint"), "media-moved")
     if not moved.limit(1).count():
         return lists
-    spot = moved.select("pack", "offset", "to")
-    each = lists.select("at", F.posexplode("chunks").alias("place", "c")).join(spot, (F.col("c.pack") == F.col("pack")) & (F.col("c.offset") == F.col("offset")))
-    new = each.groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("place", "to"))).alias("to"))
+    each = lists.select("at", F.posexplode("chunks").alias("place", "c")).join(moved, (F.col("c.pack") == F.col("pack")) & (F.col("c.offset") == F.col("offset")))
+    new = each.groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct("new", "to")))).alias("to"))
     d = lists.join(new, "at", "left")
-    fixed = F.transform("chunks", lambda c, i: F.when(F.col("to").isNotNull() & F.try_element_at("to", i).isNotNull(), F.struct(c["digest"].alias("digest"), F.concat(c["pack"], F.lit("-c")).alias("pack"), F.try_element_at("to", i).alias("offset"), c["size"].alias("size"))).otherwise(c))
+    fixed = F.transform("chunks", lambda c, i: F.when(F.col("to").isNotNull() & F.try_element_at("to", i).isNotNull(), F.struct(c["digest"].alias("digest"), F.try_element_at("to", i)["new"].alias("pack"), F.try_element_at("to", i)["to"].alias("offset"), c["size"].alias("size"))).otherwise(c))
     out = saved(d.withColumn("chunks", fixed).drop("to"), "media-lists")
-    for x in moved.select("pack").distinct().toLocalIterator():  # names of packs only
-        remove(f"{folder}/{x['pack']}.pack")
+    sweep(folder, run, moved.select("new"), SUFFIX)
+    delete(folder, moved.select("pack").distinct(), SUFFIX)
     return out
 
 
@@ -227,7 +232,7 @@ def _reader(folder: str):
             if pack not in handles:
                 if len(handles) >= 64:
                     handles.pop(next(iter(handles))).close()
-                handles[pack] = files.open_input_file(f"{root}/{pack}.pack")
+                handles[pack] = files.open_input_file(f"{root}/{pack}{SUFFIX}")
             return handles[pack]
 
         for b in batches:
@@ -257,6 +262,16 @@ def _reader(folder: str):
     return read
 
 
+def read_media(lists: DataFrame, folder: str, carry: list[str]) -> DataFrame:
+    """Put the media of lists together again: carried columns with sizes, digests and features."""
+    names = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    kinds = T.StructType([lists.schema["row"], *T.StructType.fromDDL(names).fields])
+    # tasks by the media they read, not by the bytes of the lists; neighbours share packs
+    parts = parts_for(lists.agg(F.sum("media_bytes")).first()[0])
+    lists = lists.repartitionByRange(parts, "at").select("row", "n_bytes", "media_bytes", "media_sha256", "chunks")
+    return lists.mapInArrow(_reader(folder), kinds).select(*unpacked(carry, *(x.split(" ")[0] for x in names.split(", "))))
+
+
 def media_column(df: DataFrame, text: str = "text", carry: list[str] | None = None, folder: str | None = None) -> DataFrame:
     """Store the texts of df as media and read them back: carried columns with sizes, digests and features.
 
@@ -264,8 +279,4 @@ def media_column(df: DataFrame, text: str = "text", carry: list[str] | None = No
     """
     carry = df.columns if carry is None else carry
     folder = folder or scratch_path(df.sparkSession, "packs")
-    lists = compact(write_media(df, F.encode(F.col(text), "UTF-8"), carry, folder), folder)
-    names = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    kinds = T.StructType([lists.schema["row"], *T.StructType.fromDDL(names).fields])
-    back = lists.select("row", "n_bytes", "media_bytes", "media_sha256", "chunks").mapInArrow(_reader(folder), kinds)
-    return back.select(*unpacked(carry, *(x.split(" ")[0] for x in names.split(", "))))
+    return read_media(compact(write_media(df, F.encode(F.col(text), "UTF-8"), carry, folder), folder), folder, carry)

@@ -11,8 +11,9 @@ payload. Only digests and ids are shuffled to decide this, and rows move only if
 large for Spark to send it around.
 
 Defined cases: null html is an empty payload, null url an empty target; a null id is written as ``null`` and
-is a response only where no equal payload has an id. Repeated rows with the smallest id are all responses, so
-nobody refers to a record that isn't there. A record larger than a frame has a frame of its own. An empty
+is a response only where no equal payload has an id. Repeated rows with the smallest id are all responses, as a
+revisit names its response by id and none of them could name another. Every attempt of a task writes archives of its
+own names, which its index rows carry. A record larger than a frame has a frame of its own. An empty
 table makes no archive.
 """
 
@@ -26,13 +27,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import saved, scratch_path
-from .store import opened, put
+from .store import attempt_name, new_run, opened, parts_for, put, sweep
 
 FRAME = 1 << 20
 ARCHIVE = 256 << 20
@@ -42,6 +42,7 @@ SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 #: Characters that a target URI keeps as they are, percent sign excluded so that decoding gives the url back.
 SAFE = "!#$&'()*+,/:;=?@[]~"
 DATE = "2024-01-31T00:00:00Z"
+SUFFIX = ".warc.zst"
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -106,10 +107,10 @@ def parse(raw: bytes) -> dict:
 _INDEX = "id bigint, archive string, frame int, offset bigint, length bigint"
 
 
-def _writer(folder: str, frame_bytes: int):
+def _writer(folder: str, run: str, frame_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL)
-        n, task = 0, None
+        n, attempt = 0, ""
         done: list[tuple] = []  # of this archive: (id, frame, offset, length)
         frames: list[tuple[int, int]] = []
         blocks: list[bytes] = []
@@ -129,8 +130,8 @@ def _writer(folder: str, frame_bytes: int):
         def close_archive() -> pa.RecordBatch:
             nonlocal n, packed
             close_frame()
-            name = f"{task:06d}-{n:05d}.warc.zst"
-            put(f"{folder}/{name}", [*blocks, seek_table(frames)])
+            name = f"{attempt}-{n:05d}"
+            put(f"{folder}/{name}{SUFFIX}", [*blocks, seek_table(frames)])
             ids, number, offset, length = zip(*done, strict=True)
             out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([name] * len(ids)), pa.array(number, pa.int32()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["id", "archive", "frame", "offset", "length"])
             n, packed = n + 1, 0
@@ -140,7 +141,7 @@ def _writer(folder: str, frame_bytes: int):
             return out
 
         for b in batches:
-            task = TaskContext.get().partitionId()
+            attempt = attempt or attempt_name(run)
             columns = (b.column(k) for k in ("id", "url", "payload", "refers_to"))
             for key, url, payload, refers in zip(*columns, strict=True):
                 raw = record(key.as_py(), url.as_py(), payload.as_py() or b"", refers.as_py())
@@ -166,7 +167,10 @@ def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str =
     again = saved(again.select(F.col("id").alias("of"), F.unhex("sha").alias("sha"), F.col("first").alias("refers_to")).distinct(), "warc-revisits")
     # by id and payload, as an id may be repeated with other payloads
     d = rows.withColumn("own", F.unhex(F.sha1("payload"))).join(again, F.col("id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("sha")), "left")
-    return saved(d.select("id", "url", "payload", "refers_to").mapInArrow(_writer(folder, frame_bytes), _INDEX), "warc-index")
+    run = new_run()
+    index = saved(d.select("id", "url", "payload", "refers_to").mapInArrow(_writer(folder, run, frame_bytes), _INDEX), "warc-index")
+    sweep(folder, run, index.select("archive"), SUFFIX)
+    return index
 
 
 _READ = "id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string"
@@ -186,7 +190,7 @@ def _reader(folder: str, with_payload: bool):
                 if archive != name:
                     if f:
                         f.close()
-                    path = f"{root}/{archive}"
+                    path = f"{root}/{archive}{SUFFIX}"
                     name, f = archive, files.open_input_file(path)
                     table = read_seek_table(f, files.get_file_info(path).size)
                 at, c, d = table[frame]
@@ -220,6 +224,9 @@ def read_archives(index: DataFrame, folder: str, with_payload: bool = False) ->
     place = F.struct("offset", "length")
     frames = index.groupBy("archive", "frame").agg(F.array_sort(F.collect_list(place)).alias("places"))
     schema = T.StructType.fromDDL(_READ + (", payload binary" if with_payload else ""))
+    # tasks by what they read from archives, not by the bytes of the index
+    parts = parts_for(index.agg(F.sum("length")).first()[0])
+    frames = frames.repartitionByRange(parts, "archive", "frame")
     return frames.sortWithinPartitions("archive", "frame").mapInArrow(_reader(folder, with_payload), schema)
 
 
