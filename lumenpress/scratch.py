@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
+import functools
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
-_MADE: list[str] = []
+_OPEN: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("open recordings", default=())
 
 
 def shipped(spark: SparkSession) -> None:
@@ -32,9 +36,12 @@ def shipped(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session names none is a temporary folder of this machine made and set."""
+    """``spark.checkpoint.dir``; a local session that names none gets a temporary folder of this machine, a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        context = getattr(spark, "sparkContext", None)
+        if context is None or not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="lumenpress-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
@@ -44,30 +51,50 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; nothing is written yet."""
-    path = f"{shared_dir(spark)}/lumenpress/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
-    return path
-
-
-def made() -> list[str]:
-    """The scratch paths of this process so far, in order."""
-    return list(_MADE)
-
-
-def discard(spark: SparkSession, paths: list[str], keep: DataFrame | None = None) -> None:
-    """Delete scratch paths, but none that keep reads."""
-    used = keep.inputFiles() if keep is not None else []
-    for p in paths:
-        plain = p.split("://")[-1]
-        if p in _MADE and not any(plain in f for f in used):
-            path = spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-            _MADE.remove(p)
+    return f"{shared_dir(spark)}/lumenpress/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, and its rows are then fixed."""
     shipped(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
+    for made in _OPEN.get():
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def recording() -> Iterator[list[str]]:
+    """The paths of the tables that this thread saves meanwhile."""
+    made: list[str] = []
+    before = _OPEN.set((*_OPEN.get(), made))
+    try:
+        yield made
+    finally:
+        _OPEN.reset(before)
+
+
+def discard(spark: SparkSession, paths: list[str], keep: DataFrame) -> list[str]:
+    """Delete saved tables, but none that keep reads: these are given back."""
+    if not paths:
+        return []
+    read = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()}  # folders' own names are unique
+    used = [p for p in paths if p.rpartition("/")[2] in read]
+    for p in set(paths) - set(used):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return used
+
+
+def tidied(f):
+    """A function that gives a DataFrame; of the tables it saves, those that its result doesn't read are deleted."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        with recording() as made:
+            out = f(*args, **kwargs)
+        discard(out.sparkSession, made, out)
+        return out
+
+    return run
