@@ -1,22 +1,25 @@
 """Secret scans: base patterns, and a battery of randomness tests with false-discovery control.
 
-Base spans follow three fixed patterns. The battery adds further spans: maximal runs of token characters
-whose symbols look drawn at random. A run's encoding is inferred from its alphabet (digits, hex, base32,
-letters and digits, base64), and three tests of randomness are made in it:
+What the battery reports is what it can't tell from random: the hypothesis tested is "drawn at random", so a secret
+is a string for which all tests fail to reject. Two bounds hold, per stratum of encoding and length: the
+Benjamini-Hochberg bound limits the share of random strings among those passed over, and an estimate from the
+upper half of the p values, which random strings fill evenly, limits the share of harmless strings among those
+reported. Harmless strings that look random to every test (a code number, a digest) can't be told apart.
+
+Base spans follow three fixed patterns. The battery adds further spans: maximal runs of token characters (dots
+inside them set aside) and quoted runs of printable characters. A run's encoding is inferred from its alphabet
+(digits, hex, base32, letters, letters and digits, base64, printable), and tests of randomness are made in it:
 
 * chi-squared uniformity of the character classes and of the symbols, against the encoding's alphabet,
 * the number of runs above and below the middle of the alphabet (Wald and Wolfowitz),
 * the serial correlation of successive symbols' ranks.
 
-The hypothesis "drawn at random" is rejected for natural words, numbers with structure and identifiers. As
-short runs give the tests little power, candidates are judged within strata of encoding and length: in each,
-the Benjamini-Hochberg bound over all candidates of the corpus decides which p values reject, so that the
-share of random strings among those passed over is controlled at every length alike, and strings that are too
-short to tell (see LEAST) are no candidates. The bound is found from a histogram of p values per stratum, whose
-size doesn't depend on the corpus.
+Strings that are too short to tell (see LEAST) are no candidates. Bounds are found from a histogram of p values per
+stratum, whose size doesn't depend on the corpus. Positions are found by running sums, so a text with very many
+matches takes time in proportion to its length times a logarithm.
 
 Defined cases: null text is empty and has no spans. Equal rows get equal spans. Added spans never overlap base
-ones. Positions are code points; ends are exclusive.
+ones. Positions are code points; ends are exclusive. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,31 +35,36 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 
-#: Candidates of the battery: maximal runs of token characters, and their padding; an inner "=" parts runs. Each run is looked at once, from its start.
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?"
+_C = "[A-Za-z0-9+/_-]"
+#: Candidates of the battery: quoted runs of printable characters, and maximal runs of token characters with dots
+#: inside and padding after them; an inner "=" parts runs. Each run is looked at once, from its start.
+TOKEN = rf"(?<=[\"'`])[!#-&(-_a-~]{{20,}}+(?=[\"'`])|(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/_.-]{{20}}){_C}++(?:\.{_C}++)*+(?:=++(?!{_C}))?"
 #: Per encoding: alphabet size and the least length at which the tests can tell.
-LEAST = {"digits": (10, 24), "hex": (16, 24), "base32": (32, 20), "alnum": (62, 20), "base64": (64, 20)}
-FDR = 0.01
+LEAST = {"digits": (10, 24), "hex": (16, 24), "base32": (32, 24), "letters": (52, 20), "alnum": (62, 20), "base64": (64, 20), "print": (94, 20)}
+#: Bounds on the share of random strings among those passed over, and of harmless ones among those reported.
+FDR, HARMLESS = 0.01, 0.05
 #: A p value is counted in bins of a quarter octave down to 2 ** -60.
 P_BINS, P_FLOOR = 4, 60
 
+_MATCH = "struct<start:int,end:int,match:string>"
+
+
+def running(a: Column, with_) -> Column:
+    """Of an array: at each place the elements up to it, taken together by with_ (a sum or an extreme), by doubling."""
+    steps = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda d: d < F.size(a))
+    return F.aggregate(steps, a, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, with_(x, F.get(acc, i - d))).otherwise(x)))
+
 
 def located(text: Column, pattern: str, keep=None) -> Column:
     """Matches of a pattern, leftmost first and not overlapping: array of (start, end, match); keep filters by match."""
 
     def place(m: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        lens = F.zip_with(F.transform(F.slice(gaps, 1, F.size(m)), lambda g: F.length(g)), m, lambda g, x: F.struct(g.alias("gap"), x.alias("match")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + x["gap"]
-            end = begin + F.length(x["match"])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
+        # from the end of one match to that of the next
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(m)), m, lambda g, x: F.length(g) + F.length(x))
+        ends = let(steps, lambda a: running(a, lambda x, y: x + y))
+        return F.zip_with(ends, m, lambda e, x: F.struct((e - F.length(x)).alias("start"), e.alias("end"), x.alias("match")))
 
-        return F.aggregate(lens, start, step)["out"]
-
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    none = F.array().cast(f"array<{_MATCH}>")
     found = F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)).otherwise(none)
     return F.filter(found, lambda x: keep(x["match"])) if keep else found
 
@@ -78,18 +86,31 @@ def joined(spans: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Token runs that no base span touches."""
-    return F.filter(located(text, TOKEN), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    """Token runs that no base span touches: those that end before the next span begins, and begin after all earlier ones."""
+    last = 2**31 - 1
+
+    def free(u: Column) -> Column:  # tokens and spans by start
+        ends = let(F.transform(u, lambda x: F.when(x["span"], x["end"]).otherwise(0)), lambda a: running(a, F.greatest))
+        starts = F.reverse(let(F.reverse(F.transform(u, lambda x: F.when(x["span"], x["start"]).otherwise(last))), lambda a: running(a, F.least)))
+        both = F.zip_with(u, F.arrays_zip(ends.alias("before"), starts.alias("after")), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        left = F.filter(both, lambda e: ~e["x"]["span"] & (e["y"]["before"] <= e["x"]["start"]) & (e["y"]["after"] >= e["x"]["end"]))
+        return F.transform(left, lambda e: F.struct(e["x"]["start"].alias("start"), e["x"]["end"].alias("end"), e["x"]["match"].alias("match")))
 
+    as_one = lambda x, span, match: F.struct(x["start"].alias("start"), F.lit(span).alias("span"), x["end"].alias("end"), match.alias("match"))
+    every = lambda found: F.array_sort(F.concat(F.transform(found, lambda x: as_one(x, False, x["match"])), F.transform(base, lambda x: as_one(x, True, F.lit("")))))
+    return let(located(text, TOKEN), lambda found: F.when((F.size(found) == 0) | (F.size(base) == 0), found).otherwise(let(every(found), free)))
 
-def encoding(token: Column) -> Column:
-    """The smallest alphabet that holds the token (padding set aside)."""
+
+def encoding(body: Column) -> Column:
+    """The smallest alphabet that holds the symbols of a token (padding and dots set aside)."""
     return (
-        F.when(token.rlike(r"^[0-9]+$"), "digits")
-        .when(token.rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), "hex")
-        .when(token.rlike(r"^([A-Z2-7]+=*)$"), "base32")
-        .when(token.rlike(r"^[A-Za-z0-9]+$"), "alnum")
-        .when(token.rlike(r"^[A-Za-z0-9+/_-]+=*$"), "base64")
+        F.when(body.rlike(r"^[0-9]+$"), "digits")
+        .when(body.rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), "hex")
+        .when(body.rlike(r"^[A-Z2-7]+$"), "base32")
+        .when(body.rlike(r"^[A-Za-z]+$"), "letters")
+        .when(body.rlike(r"^[A-Za-z0-9]+$"), "alnum")
+        .when(body.rlike(r"^[A-Za-z0-9+/_-]+$"), "base64")
+        .when(body.rlike(r"^[!-~]+$"), "print")
     )
 
 
@@ -99,6 +120,13 @@ def _rank(ch: Column) -> Column:
     return F.when(c.between(48, 57), c - 48).when(c.between(97, 122), c - 87).when(c.between(65, 90), c - 29).when(ch.isin("+", "-"), 62).otherwise(63)
 
 
+def _print_rank(ch: Column) -> Column:
+    """The same for printable characters, whose other symbols follow from 62 on."""
+    c = F.ascii(ch)
+    symbol = F.when(c < 48, c - 33).when(c < 65, c - 43).when(c < 97, c - 69).otherwise(c - 95)
+    return F.when(c.between(48, 57) | c.between(97, 122) | c.between(65, 90), _rank(ch)).otherwise(62 + symbol)
+
+
 def _normal_tail(z: Column) -> Column:
     """Two-sided tail of the normal distribution; Zelen and Severo's approximation, error under 1e-7."""
     x = F.abs(z)
@@ -108,42 +136,54 @@ def _normal_tail(z: Column) -> Column:
 
 
 def _chi2_tail(x: Column, df: Column) -> Column:
-    """Upper tail of the chi-squared distribution, by Wilson and Hilferty's normal approximation."""
+    """Upper tail of the chi-squared distribution for many degrees of freedom, by Wilson and Hilferty's normal approximation."""
     v = 2 / (9 * df)
     z = (F.pow(x / df, F.lit(1 / 3)) - (1 - v)) / F.sqrt(v)
     return F.when(z > 0, _normal_tail(z) / 2).otherwise(1 - _normal_tail(z) / 2)
 
 
+def _chi2_few(x: Column, df: int) -> Column:
+    """The same for one to three degrees of freedom, exactly."""
+    if df == 2:
+        return F.exp(-x / 2)
+    one = _normal_tail(F.sqrt(x))
+    return one if df == 1 else F.least(F.lit(1.0), one + F.sqrt(2 * x / F.pi()) * F.exp(-x / 2))
+
+
 def battery(tokens: DataFrame) -> DataFrame:
-    """tokens (column token) with encoding, length and p: the Bonferroni-combined p value of four tests of randomness.
+    """tokens (column token) with encoding, length and p: the combined p value of four tests of randomness.
 
-    Rows without an encoding, or too short for it, are left out.
+    Combined by Sidak's rule, so that it is evenly spread for random strings. Rows without an encoding, or too
+    short for it, are left out.
     """
     size = F.create_map(*(F.lit(x) for k, v in LEAST.items() for x in (k, v[0])))
     least = F.create_map(*(F.lit(x) for k, v in LEAST.items() for x in (k, v[1])))
-    d = tokens.withColumn("encoding", encoding(F.col("token"))).filter("encoding is not null")
-    body = F.rtrim(F.col("token"), F.lit("="))
-    d = d.withColumn("r", F.transform(F.filter(F.split(body, ""), lambda c: c != ""), _rank))
-    # base32 has letters first and digits 2-7; upper-case hex counts like lower-case
-    shift = F.when(F.col("encoding") == "base32", F.transform("r", lambda x: F.when(x < 10, x + 24).otherwise(x - 36))).when(F.col("encoding") == "hex", F.transform("r", lambda x: F.when(x >= 36, x - 26).otherwise(x))).otherwise(F.col("r"))
+    plain = F.rtrim(F.translate("token", ".", ""), F.lit("="))
+    body = F.when(plain.rlike("^[A-Za-z0-9+/_-]*$"), plain).otherwise(F.col("token"))
+    d = tokens.withColumn("body", body).withColumn("encoding", encoding(F.col("body"))).filter("encoding is not null")
+    d = d.withColumn("r", F.filter(F.split("body", ""), lambda c: c != ""))
+    d = d.withColumn("r", F.when(F.col("encoding") == "print", F.transform("r", _print_rank)).otherwise(F.transform("r", _rank)))
+    # base32 has letters first and digits 2-7; upper-case hex counts like lower-case; letters alone start at 0
+    shift = F.when(F.col("encoding") == "letters", F.transform("r", lambda x: x - 10)).when(F.col("encoding") == "base32", F.transform("r", lambda x: F.when(x < 10, x + 24).otherwise(x - 36))).when(F.col("encoding") == "hex", F.transform("r", lambda x: F.when(x >= 36, x - 26).otherwise(x))).otherwise(F.col("r"))
     d = d.withColumns({"r": shift, "k": size[F.col("encoding")].cast("double")}).withColumn("length", F.size("r"))
     d = d.filter(F.col("length") >= least[F.col("encoding")])
     n = F.col("length").cast("double")
-    # symbols: sum of squared counts, from the sorted ranks' run lengths
+    # symbols: sum of squared counts
     distinct = F.array_distinct("r")
     squares = F.aggregate(distinct, F.lit(0.0), lambda acc, s: acc + F.pow(F.size(F.filter("r", lambda x: x == s)).cast("double"), F.lit(2.0)))
     chi = squares * F.col("k") / n - n
-    # classes: digits against the rest, lower against upper case where the alphabet has both
+    # classes: digits, lower case, upper case and symbols, as far as the alphabet has them
     count = lambda lo, hi: F.size(F.filter("r", lambda x: x.between(lo, hi))).cast("double")
     part = lambda seen, share: F.pow(seen - n * share, F.lit(2.0)) / (n * share)
     two = lambda share, seen: part(seen, share) + part(n - seen, 1 - share)
-    digits = count(0, 9)
-    mixed = part(digits, 10 / F.col("k")) + part(count(10, 35), 26 / F.col("k")) + part(n - digits - count(10, 35), (F.col("k") - 36) / F.col("k"))
+    mixed = part(count(0, 9), 10 / F.col("k")) + part(count(10, 35), 26 / F.col("k")) + part(count(36, 61), 26 / F.col("k"))
     class_p = (
-        F.when(F.col("encoding") == "hex", _chi2_tail(two(10 / F.col("k"), digits), F.lit(1.0)))
-        .when(F.col("encoding") == "base32", _chi2_tail(two(6 / F.col("k"), count(26, 31)), F.lit(1.0)))
+        F.when(F.col("encoding") == "hex", _chi2_few(two(10 / F.col("k"), count(0, 9)), 1))
+        .when(F.col("encoding") == "base32", _chi2_few(two(6 / F.col("k"), count(26, 31)), 1))
+        .when(F.col("encoding") == "letters", _chi2_few(two(F.lit(0.5), count(0, 25)), 1))
         .when(F.col("encoding") == "digits", F.lit(1.0))
-        .otherwise(_chi2_tail(mixed, F.lit(2.0)))
+        .when(F.col("encoding") == "alnum", _chi2_few(mixed, 2))
+        .otherwise(_chi2_few(mixed + part(count(62, 93), (F.col("k") - 62) / F.col("k")), 3))
     )
     # runs above and below the middle
     high = F.transform("r", lambda x: (x * 2 >= F.col("k")).cast("int"))
@@ -154,19 +194,30 @@ def battery(tokens: DataFrame) -> DataFrame:
     serial = F.aggregate(F.zip_with("r", F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), lambda a, b: F.coalesce((a - mid) * (b - mid), F.lit(0.0))), F.lit(0.0), lambda acc, x: acc + x)
     serial_z = serial / var / F.sqrt(n - 1)
     d = d.withColumns({"p_symbols": _chi2_tail(F.greatest(chi, F.lit(0.0)), F.col("k") - 1), "p_classes": class_p, "p_runs": _normal_tail(runs_z), "p_serial": _normal_tail(serial_z)})
-    return d.withColumn("p", F.least(F.lit(1.0), 4 * F.least("p_symbols", "p_classes", "p_runs", "p_serial"))).drop("r", "k")
+    least_p = F.least("p_symbols", "p_classes", "p_runs", "p_serial")
+    tests = F.when(F.col("encoding") == "digits", 3.0).otherwise(4.0)
+    return d.withColumn("p", -F.expm1(tests * F.log1p(-F.least(least_p, F.lit(1 - 1e-12))))).drop("r", "k", "body")
 
 
-def not_random(tested: DataFrame) -> DataFrame:
-    """Per stratum (encoding, octave of length) the largest p bin that false-discovery control rejects: (encoding, octave, edge).
+def passed_over(tested: DataFrame) -> DataFrame:
+    """Per stratum (encoding, octave of length) the largest p bin that isn't reported: (encoding, octave, edge).
 
-    Benjamini and Hochberg over all candidates of the stratum, with p values rounded up to their bin's edge.
+    First the bins that Benjamini and Hochberg reject over all candidates of the stratum, with p values rounded up
+    to their bin's edge. Then as many more as it takes until the reported ones number no more, but for the share
+    HARMLESS, than random strings would be: those in the upper half of p values, and two standard deviations, twice.
     """
     counts = tested.groupBy("encoding", "octave", "bin").agg(F.count(F.lit(1)).alias("c"))
+    # the bin below all others stands for passing over nothing
+    strata = counts.select("encoding", "octave").distinct().select("encoding", "octave", F.lit(-P_BINS * P_FLOOR - 1).alias("bin"), F.lit(0).cast("long").alias("c"))
     own = Window.partitionBy("encoding", "octave")
-    counts = counts.withColumns({"upto": F.sum("c").over(own.orderBy("bin")), "m": F.sum("c").over(own)})
-    edge_p = F.pow(F.lit(2.0), (F.col("bin") + 1) / P_BINS)
-    return counts.filter(edge_p <= FDR * F.col("upto") / F.col("m")).groupBy("encoding", "octave").agg(F.max("bin").alias("edge"))
+    counts = counts.unionByName(strata)
+    counts = counts.withColumns({"upto": F.sum("c").over(own.orderBy("bin")), "m": F.sum("c").over(own), "upper": F.sum(F.when(F.col("bin") >= -P_BINS, F.col("c")).otherwise(0)).over(own)})
+    edge_p = F.when(F.col("upto") == 0, 0.0).otherwise(F.pow(F.lit(2.0), (F.col("bin") + 1) / P_BINS))
+    counts = counts.withColumn("edge_p", F.least(F.lit(1.0), edge_p))
+    rejected = F.max(F.when(F.col("edge_p") <= FDR * F.col("upto") / F.col("m"), F.col("bin"))).over(own)
+    random = 2 * (F.col("upper") + 1 + 2 * F.sqrt(F.col("upper") + 1)) * (1 - F.col("edge_p"))
+    enough = (F.col("bin") >= F.col("rejected")) & ((1 - HARMLESS) * (F.col("m") - F.col("upto")) <= random)
+    return counts.withColumn("rejected", rejected).filter(enough).groupBy("encoding", "octave").agg(F.min("bin").alias("edge"))
 
 
 def with_bins(tested: DataFrame) -> DataFrame:
@@ -186,8 +237,8 @@ def find_secrets(df: DataFrame, text: str = "text", carry: list[str] | None = No
     d = saved(d.withColumn("free", candidates(F.col("t"), F.col("base"))).drop("t"), "secrets")
     tokens = d.filter(F.size("free") > 0).select("at", F.explode("free").alias("x")).select("at", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.match").alias("token"))
     tested = saved(with_bins(battery(tokens)).select("at", "start", "end", "encoding", "octave", "bin"), "secrets-tested")
-    bounds = saved(not_random(tested), "secrets-bounds")
-    secret = tested.join(bounds, ["encoding", "octave"], "left").filter(F.col("edge").isNull() | (F.col("bin") > F.col("edge")))
+    bounds = saved(passed_over(tested), "secrets-bounds")
+    secret = tested.join(bounds, ["encoding", "octave"]).filter(F.col("bin") > F.col("edge"))
     span = F.struct("start", F.lit(3).alias("order"), "end", F.lit("random").alias("kind"))
     added = saved(secret.groupBy("at").agg(F.array_sort(F.collect_list(span)).alias("added")), "secrets-added")
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
@@ -198,17 +249,26 @@ def find_secrets(df: DataFrame, text: str = "text", carry: list[str] | None = No
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """df with every span of its text replaced by a mark; overlapping spans become one. Null stays null."""
-    whole = df.select(packed(df.columns).alias("whole"), F.col(text).alias("text"))
-    d = find_secrets(whole).withColumnRenamed("whole", "row")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """df with every span of its text replaced by a mark; overlapping spans become one. Null stays null.
+
+    One row per input row, repeated rows included; an empty table stays empty. Parts of plain ASCII texts are cut
+    from their bytes, so a long text with very many spans takes time in proportion to its length.
+    """
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("whole"), F.col(text).alias("text"))
+    d = find_secrets(whole, carry=["whole"]).withColumn("text", F.col("whole")[text])
+    ascii_ = F.length("text") == F.octet_length("text")
+    cut = lambda lo, n: F.when(ascii_, F.substring(F.col("text").cast("binary"), lo + 1, n).cast("string")).otherwise(F.substring("text", lo + 1, n))
+
+    def parts(spans: Column) -> Column:
+        ends = let(F.transform(spans, lambda s: s["end"]), lambda a: running(a, F.greatest))
+
+        def cleaned(upto: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(upto, i - 1), F.lit(0))
+            part = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(cut(before(i), s["start"] - before(i)), F.lit(mark))).otherwise(""))
+            return F.concat(F.array_join(part, ""), cut(F.element_at(upto, -1), F.length("text")))
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring("text", acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        return let(ends, cleaned)
 
     spans = F.array_sort(F.concat("base", "added"))
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    clean = F.when(F.size(spans) == 0, F.col("text")).otherwise(done)
-    return d.withColumn("__clean", clean).select(*((F.col("__clean") if c == text else F.col("row")[c]).alias(c) for c in df.columns))
+    clean = F.when(F.size(spans) == 0, F.col("text")).otherwise(let(spans, parts))
+    return d.withColumn("__clean", clean).select(*((F.col("__clean") if c == text else F.col("whole")[c]).alias(c) for c in df.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import string
 
@@ -58,3 +59,87 @@ def test_small_groups_are_judged_by_their_language_then_by_all(spark):
     assert len(d) == len(rows) and all(r.d2 is not None for r in d)
     kept = {r.doc_id: r.kept for r in d}
     assert not kept[1100] and not kept[2100] and sum(not v for v in kept.values()) <= 4
+
+
+def test_runs_of_token_characters(spark):
+    """Dotted tokens and quoted ones with other symbols are judged whole."""
+    rng = random.Random(16)
+    b64 = string.ascii_letters + string.digits + "-_"
+    dotted = [".".join((drawn(rng, 24, b64), drawn(rng, 6, b64), drawn(rng, 27, b64))) for _ in range(30)]
+    printable = "".join(chr(c) for c in range(33, 127) if chr(c) not in "\"'`")
+    quoted = [drawn(rng, 40, printable) for _ in range(30)]
+    got = added(spark, [f"see {t} end" for t in dotted] + [f'x="{t}", y' for t in quoted])
+    assert sum(t in g for t, g in zip(dotted, got, strict=False)) >= 27
+    assert sum(bool(g) for g in got[30:]) >= 27
+
+
+def test_precision_on_ordinary_identifiers(spark):
+    rng = random.Random(17)
+    words = ["user", "profile", "image", "version", "update", "module", "number", "final", "draft", "backup", "config", "handler", "parser", "account", "message", "session", "request", "index"]
+    pick = lambda n: [rng.choice(words) for _ in range(n)]
+    plain = []
+    for _ in range(300):
+        plain += ["_".join(pick(5)), "".join(w.title() for w in pick(5)), "/" + "/".join(pick(4)) + f"/{rng.randint(1, 31):02d}", "-".join(pick(4)) + f".v{rng.randint(1, 9)}.tar.gz", "_".join(pick(4)).upper(), f"www.{'-'.join(pick(3))}.example.org", f"IMG_2024{rng.randint(1, 12):02d}{rng.randint(1, 28):02d}_{rng.randint(0, 235959):06d}_{rng.choice(words)}", "".join(pick(4))]
+    keys = [drawn(rng, n) for n in (20, 24, 32, 40) for _ in range(50)]
+    got = added(spark, [f"see {t} end" for t in plain + keys])
+    wrong, right = sum(map(bool, got[: len(plain)])), sum(map(bool, got[len(plain) :]))
+    assert right >= 0.9 * len(keys) and wrong <= 0.05 * (wrong + right)
+    # the same words alone, without any random string around them
+    assert sum(map(bool, added(spark, [f"see {t} end" for t in plain]))) <= 0.005 * len(plain)
+
+
+def test_p_values_equal_plain_ones(spark):
+    rng = random.Random(18)
+    alphabets = {"digits": string.digits, "hex": "0123456789abcdef", "base32": string.ascii_uppercase + "234567", "letters": string.ascii_letters, "alnum": string.digits + string.ascii_lowercase + string.ascii_uppercase, "base64": string.digits + string.ascii_lowercase + string.ascii_uppercase + "+/"}
+    classes = {"hex": [10, 6], "base32": [26, 6], "letters": [26, 26], "alnum": [10, 26, 26], "base64": [10, 26, 26, 2]}
+    tokens = [drawn(rng, n, a) + a[0] + a[-1] for a in alphabets.values() for n in (30, 60, 200) for _ in range(5)]
+    tokens += ["user_profile_image_version_7", "aaaaaaaaaaaaaaaaaaaaaaaa1Z+"]
+    chi = lambda x, df: 1 - quality.chi2_cdf(x, df)
+    tail = lambda z: math.erfc(abs(z) / 2**0.5)
+    rows = secrets.battery(spark.createDataFrame([(t,) for t in tokens], "token string")).collect()
+    assert len(rows) == len(tokens)
+    for r in rows:
+        a = alphabets[r.encoding]
+        ranks = [a.index(c.replace("-", "+").replace("_", "/")) for c in r.token]
+        n, k = len(ranks), len(a)
+        assert r.length == n
+        want = {"p_symbols": chi(sum(ranks.count(s) ** 2 for s in set(ranks)) * k / n - n, k - 1), "p_classes": 1.0}
+        if r.encoding in classes:
+            lo, total = 0, 0.0
+            for width in classes[r.encoding]:
+                total += (sum(lo <= x < lo + width for x in ranks) - n * width / k) ** 2 / (n * width / k)
+                lo += width
+            want["p_classes"] = chi(total, len(classes[r.encoding]) - 1)
+        high = [2 * x >= k for x in ranks]
+        want["p_runs"] = tail((sum(x != y for x, y in zip(high, high[1:], strict=False)) - (n - 1) / 2) / ((n - 1) / 4) ** 0.5)
+        mid, var = (k - 1) / 2, (k * k - 1) / 12
+        want["p_serial"] = tail(sum((x - mid) * (y - mid) for x, y in zip(ranks, ranks[1:], strict=False)) / var / (n - 1) ** 0.5)
+        for name, p in want.items():
+            assert abs(r[name] - p) < (0.01 if name == "p_symbols" else 1e-6), (r.token, name)
+        tests = 3 if r.encoding == "digits" else 4
+        assert abs(r.p - (1 - (1 - min(r[x] for x in want)) ** tests)) < 1e-6
+
+
+def test_bounds_equal_plain_ones(spark):
+    rng = random.Random(19)
+    rows = [("alnum", 4, rng.choice([-200, -40, -20, -9, -5, -3, -2, -1, 0])) for _ in range(300)] + [("hex", 5, b) for b in (-3, -1, 0)] + [("base64", 5, b) for b in [-12] * 40 + [-60] * 10]
+    got = {(r.encoding, r.octave): r.edge for r in secrets.passed_over(spark.createDataFrame(rows, "encoding string, octave int, bin int")).collect()}
+    for key in {r[:2] for r in rows}:
+        bins = [r[2] for r in rows if r[:2] == key]
+        m, upper = len(bins), sum(b >= -4 for b in bins)
+        edge = lambda b, bins=bins: min(1.0, 2 ** ((b + 1) / 4)) if any(x <= b for x in bins) else 0.0
+        places = [-241, *sorted(set(bins))]
+        low = max(b for b in places if edge(b) <= 0.01 * sum(x <= b for x in bins) / m)
+        fits = [b for b in places if b >= low and 0.95 * sum(x > b for x in bins) <= 2 * (upper + 1 + 2 * (upper + 1) ** 0.5) * (1 - edge(b))]
+        assert got[key] == min(fits)
+
+
+def test_many_matches_in_one_long_text(spark):
+    rng = random.Random(20)
+    pieces = [("password=" + drawn(rng, 16, string.ascii_letters) if k % 2 else "word") for k in range(30_000)]
+    text = " ".join(pieces)
+    d = spark.createDataFrame([(1, text), (1, text), (2, "é " + text)], "doc_id long, text string")
+    out = secrets.redact(d).collect()
+    clean = " ".join("[secret]" if k % 2 else "word" for k in range(30_000))
+    assert sorted(r.text for r in out) == sorted([clean, clean, "é " + clean])
+    assert secrets.redact(d.limit(0)).count() == 0
