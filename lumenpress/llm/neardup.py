@@ -13,8 +13,8 @@ almost all processes end with their first point, past the time within which ever
 Equal texts are first put together by digest, so hot groups of copies cost one signature row each. Buckets of
 a band never expand to all pairs: in a round, every member meets its bucket's pivot only; links merge
 members into components, and later rounds look only at buckets that still hold two or more components. What
-is then left is compared in blocks of bounded size, pair by pair only where it can still join two components
-and sizes and sketches allow the similarity. A sketch has one bit per component of the signature; a pair of
+is then left is compared in blocks of bounded size, without texts; texts are fetched for pairs that can still join
+two components and whose sizes and sketches allow the similarity. A sketch has one bit per component of the signature; a pair of
 similarity 0.8 is lost with probability under 1e-8. Whole texts decide.
 
 Defined cases: texts without words (null, empty, white space) have no shingles and are classes of equal
@@ -45,6 +45,7 @@ _APART = (1 - SIMILARITY) / 2
 MOST_APART = int(M * _APART + 6 * (M * _APART * (1 - _APART)) ** 0.5)
 ROUNDS = 2
 BLOCK = 512
+HOT = 1000
 BATCH_BYTES = 1 << 20
 
 _U = np.uint64
@@ -170,7 +171,11 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
             lo, size = hi + 1, 0
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signer(with_text: bool):
+    return lambda batches: _sign(batches, with_text)
+
+
+def _sign(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     salt = mix64(np.arange(BANDS, dtype=_U) + _U(0xA0761D6478BD642F))
     power = mix64(np.arange(ROWS, dtype=_U) + _U(0xE7037ED1A0B428DB)) | _U(1)
     long = pa.list_(pa.int64())
@@ -185,7 +190,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = np.packbits(flags, axis=1).view(np.int64)
             part = b.slice(lo, hi - lo)
             lists = [pa.array([x[k] if n[k] else None for k in range(hi - lo)], long) for x in (band, words)]
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(b.num_columns - 1)), *lists, pa.array(n, pa.int64())], names=[*b.schema.names[:-1], "bands", "sketch", "size"])
+            own = b.num_columns - (not with_text)
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(own)), *lists, pa.array(n, pa.int64())], names=[*b.schema.names[:own], "bands", "sketch", "size"])
 
 
 def _can_be_similar(size_a: Column, sketch_a: Column, size_b: Column, sketch_b: Column) -> Column:
@@ -227,17 +233,35 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", carry
     """
     carry = docs.columns if carry is None else carry
     signed = _signed(docs, text, key, carry)
-    source = docs.select(F.col(text).alias("text"), _digest(text).alias("digest"))
-    return _classes(signed, source).join(signed.select("row", "at"), "at").select(*unpacked(carry, "class_id"))
+    nodes = _nodes(signed)
+    least = nodes.groupBy("comp").agg(F.min("best.id").alias("class_id"), F.count(F.lit(1)).alias("nodes"))
+    named = _spread(nodes.select("digest", "comp", "copies"), saved(least, "least"), "comp", "nodes").select("digest", "class_id", "copies")
+    rows = signed.filter("not missing").select("row", "digest")
+    found = _spread(rows, saved(named, "named"), "digest", "copies").select("row", "class_id")
+    found = found.unionByName(signed.filter("missing").select("row", F.col("id").alias("class_id")))
+    return found.select(*unpacked(carry, "class_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one row of each near-duplicate class: that with the least key, null last; of repeated rows one."""
     signed = _signed(docs, text, key, docs.columns)
-    d = _classes(signed, signed.select(F.col("row")[text].alias("text"), "digest"))
-    first = d.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))["at"].alias("keep"))
-    dropped = saved(d.join(first, "comp").filter("at <> keep").select("at"), "dropped")
-    return signed.join(dropped, "at", "left_anti").select(*unpacked(docs.columns))
+    kept = saved(_nodes(signed).groupBy("comp").agg(F.min("best")["at"].alias("at")).select("at"), "kept")
+    d = signed.filter("not missing").join(kept, "at", "left_semi").unionByName(signed.filter("missing"))
+    return d.select(*unpacked(docs.columns))
+
+
+def _spread(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with facts, a saved table with one row per key that counts the key's rows.
+
+    Keys that hold at least one in HOT of all rows, of which there are HOT at most, are sent to every task, so that
+    their rows stay where they are; all others are joined by key.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    hot = facts.filter((F.col(count) > 1) & (F.col(count) * HOT >= total))
+    cold = facts.filter((F.col(count) <= 1) | (F.col(count) * HOT < total))
+    hot_rows = rows.join(F.broadcast(hot.drop(*(c for c in rows.columns if c != key))), key)
+    cold_rows = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.drop(*(c for c in rows.columns if c != key)), key)
+    return hot_rows.unionByName(cold_rows)
 
 
 def _digest(text: str) -> Column:
@@ -245,23 +269,27 @@ def _digest(text: str) -> Column:
 
 
 def _signed(docs: DataFrame, text: str, key: str, carry: list[str]) -> DataFrame:
-    """A written table: row (the carried columns), id, at (a number of the row), digest, missing, bands, sketch, size."""
+    """A written table: row (the carried columns), id, at (a number of the row), digest, missing, text, bands, sketch, size."""
     base = docs.select(packed(carry), F.col(key).alias("id"), F.monotonically_increasing_id().alias("at"), _digest(text).alias("digest"), F.col(text).isNull().alias("missing"), F.col(text).alias("text"))
-    schema = base.drop("text").schema.add("bands", T.ArrayType(T.LongType())).add("sketch", T.ArrayType(T.LongType())).add("size", T.LongType())
-    return saved(base.mapInArrow(_sign, schema), "signed")
-
-
-def _classes(signed: DataFrame, source: DataFrame) -> DataFrame:
-    """at, id, class_id and comp (the class's number) of all rows. source: text and digest."""
-    # one node per different text
-    texts = signed.filter("not missing").groupBy("digest").agg(F.min("at").alias("node"), F.min("id").alias("least_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
-    nodes = saved(texts, "nodes")
+    keep = text not in carry  # else the text is in the row
+    schema = (base if keep else base.drop("text")).schema.add("bands", T.ArrayType(T.LongType())).add("sketch", T.ArrayType(T.LongType())).add("size", T.LongType())
+    signed = saved(base.mapInArrow(_signer(keep), schema), "signed")
+    return signed if keep else signed.withColumn("text", F.col("row")[text])
+
+
+def _nodes(signed: DataFrame) -> DataFrame:
+    """One row per different text: digest, node (the number of a row that has it), copies, best (its least id, null last) and comp (its class's number)."""
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("best")
+    texts = signed.filter("not missing").groupBy("digest").agg(F.min("at").alias("node"), F.count(F.lit(1)).alias("copies"), best)
+    # signatures by row number, so that copies of a text don't move theirs
+    signs = signed.filter("not missing").select(F.col("at").alias("node"), "bands", "sketch", "size")
+    nodes = saved(texts.join(signs, "node"), "nodes")
     members = nodes.filter("bands is not null").select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
     members = saved(members.join(shared, "band").select("band", "node", "pivot"), "members")
     # of the texts in shared buckets, once for all rounds
-    needed = members.select("node").distinct().join(nodes.select("node", "digest", "size", "sketch"), "node")
-    held = saved(source.join(needed, "digest").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("node", "size", "sketch", "text"))).drop("digest"), "texts")
+    needed = members.select("node").distinct().join(nodes.select("node", "size", "sketch"), "node")
+    held = saved(needed.join(signed.select(F.col("at").alias("node"), "text"), "node"), "texts")
     links, met, comp = None, None, None
     for k in range(ROUNDS):
         pairs = _pivot_pairs(members if comp is None else _open(members, comp), k).distinct()
@@ -278,12 +306,8 @@ def _classes(signed: DataFrame, source: DataFrame) -> DataFrame:
         found = saved(_rest(_open(members, comp), nodes, held), "links")
         if found.limit(1).count():
             comp = components(links.unionByName(found))
-    done = nodes.select("digest", "node", "least_id")
-    done = done.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comp is not None else done.withColumn("comp", F.col("node"))
-    least = done.groupBy("comp").agg(F.min("least_id").alias("class_id"))
-    named = done.join(least, "comp").select("digest", "class_id", "comp")
-    one = signed.filter("not missing").select("at", "id", "digest").join(named, "digest").select("at", "id", "class_id", "comp")
-    return one.unionByName(signed.filter("missing").select("at", "id", F.col("id").alias("class_id"), (-1 - F.col("at")).alias("comp")))
+    done = nodes.select("digest", "node", "copies", "best")
+    return done.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comp is not None else done.withColumn("comp", F.col("node"))
 
 
 def _pivot_pairs(members: DataFrame, k: int) -> DataFrame:
@@ -311,8 +335,9 @@ def _rest(members: DataFrame, nodes: DataFrame, held: DataFrame) -> DataFrame:
 
     A semi join leaves the members for which the bucket has one of another component and of fitting size and
     sketch; sizes of similar texts are in the same class (powers of 1.25) or in neighbouring ones. These are dealt
-    into blocks, and a task compares two blocks, or one with itself, joining components as it finds links: it
-    goes on only where a pair can still join two. A pair is looked at in the first bucket it shares.
+    into blocks, and a task compares the sizes, sketches and bands of two blocks, or of one with itself. A pair is
+    looked at in the first bucket it shares. Texts are fetched only for members that fit another one of the two
+    blocks; then the task joins components as it finds links, and goes on only where a pair can still join two.
     """
     d = members.select("band", "node", "comp").join(held.select("node", "size", "sketch"), "node")
     d = d.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / SIMILARITY))).cast("int"))
@@ -321,19 +346,21 @@ def _rest(members: DataFrame, nodes: DataFrame, held: DataFrame) -> DataFrame:
     d = saved(d.join(o, (F.col("band") == F.col("o_band")) & (F.col("class") == F.col("o_class")) & fits, "left_semi").select("band", "node", "comp"), "open")
     count = d.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     d = d.join(count, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    d = d.join(nodes.select("node", "size", "sketch", "bands"), "node")
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    d = d.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "comp")
-    d = d.join(held, "node").join(nodes.select("node", "bands"), "node")
+    d = d.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "comp", "size", "sketch", "bands")
+    fit = saved(d.groupBy("band", "p", "q").applyInArrow(_fitting, "band bigint, p int, q int, node bigint, comp bigint, mates array<bigint>"), "fitting")
+    d = fit.join(held.select("node", "text"), "node")
     return d.groupBy("band", "p", "q").applyInArrow(_linked, "a bigint, b bigint")
 
 
-def _linked(t: pa.Table) -> pa.Table:
-    """Links between the blocks p and q of a bucket (all columns of one group)."""
+def _fitting(t: pa.Table) -> pa.Table:
+    """Of the blocks p and q of a bucket (all columns of one group): members with the later ones (mates) whose links could join components, and these."""
     node, comp, size, block = (t.column(c).to_numpy() for c in ("node", "comp", "size", "block"))
     sketch, bands = (np.array(t.column(c).to_pylist(), np.int64) for c in ("sketch", "bands"))
     sketch = sketch.view(_U)  # bits of signed numbers would be counted of their absolute value
-    key, text, within = t.column("band")[0].as_py(), t.column("text"), t.column("p")[0].as_py() == t.column("q")[0].as_py()
-    comp, counted, links = comp.copy(), {}, []
+    key, within = t.column("band")[0].as_py(), t.column("p")[0].as_py() == t.column("q")[0].as_py()
+    mates: dict[int, list[int]] = {}
     for i in range(len(node)):
         rest = slice(i + 1, None)
         fit = (comp[rest] != comp[i]) & (np.minimum(size[rest], size[i]) >= SIMILARITY * np.maximum(size[rest], size[i]))
@@ -343,14 +370,28 @@ def _linked(t: pa.Table) -> pa.Table:
         if len(at):
             equal = bands[at] == bands[i]
             at = at[bands[i][equal.argmax(axis=1)] == key]
-        for j in at.tolist():
+        if len(at):
+            mates.setdefault(i, []).extend(node[at].tolist())
+            for j in at.tolist():
+                mates.setdefault(j, [])
+    rows = sorted(mates)
+    return pa.table([*(t.column(c).take(pa.array(rows, pa.int64())) for c in ("band", "p", "q", "node", "comp")), pa.array([mates[i] for i in rows], pa.list_(pa.int64()))], names=["band", "p", "q", "node", "comp", "mates"])
+
+
+def _linked(t: pa.Table) -> pa.Table:
+    """Links between members of a group and their mates."""
+    comp, text = t.column("comp").to_numpy().copy(), t.column("text")
+    node = t.column("node").to_pylist()
+    place, counted, links = {n: k for k, n in enumerate(node)}, {}, []
+    for i, mates in enumerate(t.column("mates").to_pylist()):
+        for j in map(place.__getitem__, mates):
             if comp[j] == comp[i]:
                 continue
             for k in (i, j):
                 if k not in counted:
                     counted[k] = _counted(text[k].as_py())
             if overlap(counted[i], counted[j]) >= SIMILARITY:
-                links.append((int(node[i]), int(node[j])))
+                links.append((node[i], node[j]))
                 comp[comp == comp[j]] = comp[i]
     a, b = zip(*links, strict=True) if links else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
