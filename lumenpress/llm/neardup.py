@@ -272,7 +272,8 @@ def _signed(docs: DataFrame, text: str, key: str, carry: list[str]) -> DataFrame
     """A written table: row (the carried columns), id, at (a number of the row), digest, missing, text, bands, sketch, size."""
     base = docs.select(packed(carry), F.col(key).alias("id"), F.monotonically_increasing_id().alias("at"), _digest(text).alias("digest"), F.col(text).isNull().alias("missing"), F.col(text).alias("text"))
     keep = text not in carry  # else the text is in the row
-    schema = (base if keep else base.drop("text")).schema.add("bands", T.ArrayType(T.LongType())).add("sketch", T.ArrayType(T.LongType())).add("size", T.LongType())
+    fields = T.StructType.fromDDL("bands array<bigint>, sketch array<bigint>, size bigint").fields
+    schema = T.StructType([*(f for f in base.schema.fields if keep or f.name != "text"), *fields])
     signed = saved(base.mapInArrow(_signer(keep), schema), "signed")
     return signed if keep else signed.withColumn("text", F.col("row")[text])
 

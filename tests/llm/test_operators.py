@@ -349,6 +349,8 @@ def test_blocks_lose_no_link(spark, monkeypatch):
 
 def test_near_classes_odd_rows(docs, nothing, texts):
     assert neardup.near_classes(docs).count() == len(texts)
+    few = neardup.near_classes(docs, carry=["doc_id"])
+    assert few.columns == ["doc_id", "class_id"] and bag(map(tuple, few.collect())) == bag((r.doc_id, r.class_id) for r in neardup.near_classes(docs).collect())
     assert neardup.near_classes(nothing).count() == 0 and neardup.keep_one(nothing).count() == 0
 
 
