@@ -86,18 +86,31 @@ def bm25_tokens(x: Column) -> Column:
     return F.filter(F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " "), lambda w: (F.length(w) >= 2) & ~w.isin(BM25_STOP))
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with value computed once a row; inside a lambda it would be computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def word_shingles(tokens: Column, size: int = 3) -> Column:
     """Distinct runs of words; the distinct words where there are fewer."""
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, size), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < size, F.array_distinct(tokens)).otherwise(F.array_distinct(runs))
+
+    def runs(t: Column) -> Column:
+        n = F.size(t)
+        own = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, size), " "))
+        return F.when(n < size, F.array_distinct(t)).otherwise(F.array_distinct(own))
+
+    return once(tokens, runs)
 
 
 def char_shingles(x: Column, size: int = 5) -> Column:
     """Distinct runs of characters of the text in lower case with single spaces."""
-    t = F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\s+", " "))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - size + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(size)))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def runs(t: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, size), ""))
+        return F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(own))
+
+    # characters once, as finding the i-th one of a text takes time in proportion to i
+    return once(F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\s+", " ")), ""), lambda c: c != ""), runs)
 
 
 def canonical_url(url: Column) -> Column:

@@ -93,7 +93,8 @@ def overlap(a: Column, b: Column, least: int) -> Column:
 
 
 def bigrams(x: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2)))
+    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: F.array_join(F.slice(c, i, 2), ""))
+    return X.once(F.filter(F.split(x, ""), lambda c: c != ""), pairs)
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -103,15 +104,6 @@ def dice(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).otherwise(2 * shared / (F.size(x) + F.size(y)))
 
 
-def token_pairs(docs: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b), a < b, of docs (id, tokens) that share a token which at most ``most`` documents have."""
-    t = docs.select("id", F.explode(F.array_distinct("tokens")).alias("token"))
-    rare = t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, most)).select("token")
-    t = t.join(rare, "token")
-    o = t.select("token", F.col("id").alias("b"))
-    return t.join(o, "token").filter("id < b").select(F.col("id").alias("a"), "b").distinct()
-
-
 def jaccard_links(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """All pairs of docs (id, tokens) whose token sets have a Jaccard similarity of at least ``least``, as two tables.
 
@@ -143,12 +135,17 @@ def jaccard_links(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
 
 def minhash_sha1(shingles: Column, permutations: int = 96) -> Column:
     """Signature of seeded SHA-1: per seed the least of the first 32 bits over the shingles."""
-    source = F.when(F.size(shingles) > 0, shingles).otherwise(F.array(F.lit("__empty__")))
-    value = lambda k, s: F.conv(F.substring(F.sha1(F.concat(k.cast("string"), F.lit(":"), s)), 1, 8), 16, 10).cast("bigint")
-    return F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda k: F.array_min(F.transform(source, lambda s: value(k, s))))
+    value = lambda k, s: F.substring(F.sha1(F.concat(k.cast("string"), F.lit(":"), s)), 1, 8)
+    # eight hexadecimal digits are ordered like the numbers they stand for
+    least = lambda own: F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda k: F.conv(F.array_min(F.transform(own, lambda s: value(k, s))), 16, 10).cast("bigint"))
+    return X.once(X.once(shingles, lambda own: F.when(F.size(own) > 0, own).otherwise(F.array(F.lit("__empty__")))), least)
 
 
 def bands(signature: Column, n: int = 24) -> Column:
     """The signature's bands as keys ``band:values``."""
-    rows = (F.size(signature) / n).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.concat(k.cast("string"), F.lit(":"), F.array_join(F.transform(F.slice(signature, k * rows + 1, rows), lambda v: v.cast("string")), "|")))
+
+    def keys(g: Column) -> Column:
+        rows = (F.size(g) / n).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.concat(k.cast("string"), F.lit(":"), F.array_join(F.transform(F.slice(g, k * rows + 1, rows), lambda v: v.cast("string")), "|")))
+
+    return X.once(signature, keys)

@@ -9,14 +9,16 @@ from .. import tables as T
 from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import analytics as A
+from ..operators import graph as G
 from ..operators import models as M
 from ..operators import relational as R
 from ..operators import search as V
+from ..scratch import saved
 from . import sqltext as Q
 from .analytics import _RATING
 from .content import ladder_sql
 from .registry import query
-from .search import _PAIR_CTES, _ratings, _title_pairs
+from .search import _PAIR_CTES, _ratings, _title_pairs, _titles
 
 _NOW = f"TIMESTAMP '{T.AS_OF}'"
 _GAP = "abs(epoch_us(x.published_at) - epoch_us(y.published_at)) / 3600e6"
@@ -26,7 +28,7 @@ _STORY = f"""SELECT p.a, p.b, round(least(1, 0.45::double * len(list_intersect(t
 
 
 def _stories(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of articles at most a day apart with a story score; same sources count a quarter."""
+    """Pairs of titles at most a day apart, by their first articles, with a story score; same sources count a quarter."""
     a = T.articles(spark, sf)
     side = lambda c: a.select(F.col("id").alias(c), *(F.col(n).alias(f"{n}_{c}") for n in ("published_at", "category_id", "source_name")))
     d = _title_pairs(spark, sf).join(side("a"), "a").join(side("b"), "b")
@@ -42,6 +44,42 @@ def v22(spark: SparkSession, sf: str) -> DataFrame:
     return _stories(spark, sf)
 
 
+_STORY_GROUPS = {
+    "sl": "SELECT a, b, score FROM st WHERE score >= 0.68",
+    "su": "SELECT a, b FROM sl UNION SELECT b, a FROM sl",
+    "sr": "SELECT a AS node, a AS seen FROM su UNION SELECT sr.node, su.b FROM sr JOIN su ON su.a = sr.seen",
+    "sc": "SELECT node, min(seen) AS comp FROM sr GROUP BY 1",
+    "sm": "SELECT t.id, t.rep, coalesce(comp, t.rep) AS story FROM titles t LEFT JOIN sc ON node = t.rep",
+    "ss": "SELECT node, sum(cast(round(score * 1000000) AS bigint)) AS linked FROM (SELECT a AS node, score FROM sl UNION ALL SELECT b, score FROM sl) GROUP BY 1",
+}
+
+
+@query(
+    "d12_story_groups",
+    T.sql(
+        """SELECT story, count(*) AS articles, count(DISTINCT source_name) AS sources, round(least(1, count(DISTINCT source_name) / count(*) + CASE WHEN count(*) > 1 THEN 0.2::double ELSE 1 END), 6) AS confidence,
+        arg_min(rep, (-coalesce(linked, 0), rep)) AS representative FROM sm JOIN articles x ON x.id = sm.id LEFT JOIN ss ON ss.node = rep GROUP BY 1""",
+        "articles",
+        **_PAIR_CTES,
+        st=_STORY,
+        **_STORY_GROUPS,
+    ),
+)
+def d12(spark: SparkSession, sf: str) -> DataFrame:
+    """Stories: titles joined by a score of 0.68 or more, with all articles that have these titles.
+
+    The representative is the title with the highest sum of scores to others of the story.
+    """
+    groups, links = _titles(spark, sf)[0], saved(_stories(spark, sf).filter("score >= 0.68"), "stories")
+    comp = G.components(links.select("a", "b"))
+    both = links.select(F.col("a").alias("rep"), "score").unionByName(links.select(F.col("b").alias("rep"), "score"))
+    linked = both.groupBy("rep").agg(F.sum(F.round(F.col("score") * 1_000_000).cast("long")).alias("linked"))
+    source = T.articles(spark, sf).select("id", "source_name")
+    d = groups.select("id", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(linked, "rep", "left").join(source, "id")
+    d = d.groupBy(F.coalesce("comp", "rep").alias("story")).agg(F.count(F.lit(1)).alias("articles"), F.count_distinct("source_name").alias("sources"), F.min(F.struct((-F.coalesce("linked", F.lit(0))).alias("l"), "rep"))["rep"].alias("representative"))
+    return d.select("story", "articles", "sources", F.round(F.least(F.lit(1.0), F.col("sources") / F.col("articles") + F.when(F.col("articles") > 1, 0.2).otherwise(1.0)), 6).alias("confidence"), "representative")
+
+
 @query("v24_related_articles", T.sql("SELECT id, other, score FROM (SELECT id, other, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS n FROM (SELECT a AS id, b AS other, score FROM st UNION ALL SELECT b, a, score FROM st) WHERE score >= 0.28) WHERE n <= 5", "articles", **_PAIR_CTES, st=_STORY))
 def v24(spark: SparkSession, sf: str) -> DataFrame:
     """The five most related articles of each, from a score of 0.28 on."""
@@ -50,9 +88,9 @@ def v24(spark: SparkSession, sf: str) -> DataFrame:
     return R.top_per_group(both, ["id"], [F.desc("score"), F.col("other")], 5).drop("rank")
 
 
-@query("v13_sparse_cosine", T.sql("SELECT p.a, p.b, round(coalesce((SELECT sum(cast(u.weight * w.weight * 1e9 AS bigint)) FROM v u JOIN v w ON u.token = w.token WHERE u.id = p.a AND w.id = p.b), 0) / 1e9, 4) AS cosine FROM p", "articles", **_PAIR_CTES, tf="SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(t) AS token FROM d) GROUP BY 1, 2", v="SELECT id, token, round(w / sqrt(cast(sum(cast(w * w AS decimal(38, 12))) OVER (PARTITION BY id) AS double)), 6) AS weight FROM (SELECT id, token, (1 + ln(tf)) * (ln(((SELECT count(*) FROM articles) + 1) / (count(*) OVER (PARTITION BY token) + 1)) + 1) AS w FROM tf)"))
+@query("v13_sparse_cosine", T.sql("SELECT p.a, p.b, round(coalesce((SELECT sum(cast(u.weight * w.weight * 1e9 AS bigint)) FROM v u JOIN v w ON u.token = w.token WHERE u.id = p.a AND w.id = p.b), 0) / 1e9, 4) AS cosine FROM p", "articles", **_PAIR_CTES, tf="SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(t) AS token FROM every) GROUP BY 1, 2", v="SELECT id, token, round(w / sqrt(cast(sum(cast(w * w AS decimal(38, 12))) OVER (PARTITION BY id) AS double)), 6) AS weight FROM (SELECT id, token, (1 + ln(tf)) * (ln(((SELECT count(*) FROM articles) + 1) / (count(*) OVER (PARTITION BY token) + 1)) + 1) AS w FROM tf)"))
 def v13(spark: SparkSession, sf: str) -> DataFrame:
-    """Cosine of title vectors for pairs that share a rare token, in long form."""
+    """Cosine of title vectors for pairs of titles alike, in long form."""
     v = V.tfidf(T.articles(spark, sf).select("id", X.dedupe_tokens(F.col("title")).alias("tokens")))
     p = _title_pairs(spark, sf).select("a", "b")
     d = p.join(v.select(F.col("id").alias("a"), "token", F.col("weight").alias("wa")), "a").join(v.select(F.col("id").alias("b"), "token", F.col("weight").alias("wb")), ["b", "token"])
@@ -144,9 +182,9 @@ def u07(spark: SparkSession, sf: str) -> DataFrame:
     return d.filter((best >= 5) & (best >= 1.8 * second)).select(F.col("l")[0]["language"].alias("language"), "token", best.alias("n"))
 
 
-@query("t23_char_shingles", "SELECT item_id, len(list_distinct(list_transform(range(1, greatest(length(t) - 4, 1) + 1), lambda i: substr(t, i, 5)))) AS shingles FROM (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM benchmark) WHERE length(t) > 0")
+@query("t23_char_shingles", "SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(length(t) - 4, 1) + 1), lambda i: substr(t, i, 5)))) AS shingles FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents) WHERE length(t) > 0")
 def t23(spark: SparkSession, sf: str) -> DataFrame:
-    return T.raw(spark, sf, "benchmark").filter(F.length("text") > 0).select("item_id", F.size(X.char_shingles(F.col("text"))).alias("shingles"))
+    return T.raw(spark, sf, "documents").filter(F.length("text") > 0).select("doc_id", F.size(X.char_shingles(F.col("text"))).alias("shingles"))
 
 
 @query("t29_claims", T.sql("SELECT id, len(list_filter(string_split_regex(regexp_replace(content, '\\s+', ' ', 'g'), '[.!?] '), lambda s: regexp_matches(s, '[0-9]') AND trim(s) <> '')) AS claims FROM articles", "articles"))

@@ -13,6 +13,7 @@ from ..operators import classify as C
 from ..operators import graph as G
 from ..operators import recommend as R
 from ..operators import search as V
+from ..scratch import saved
 from . import sqltext as Q
 from .analytics import _RATING, corrections, _CORRECTIONS
 from .content import _HOURS, ladder_sql
@@ -132,19 +133,39 @@ def v14(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(c, "label").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("c")), 5).alias("cosine"))
 
 
-_PAIRS = f"""SELECT x.id AS a, y.id AS b, x.t AS ta, y.t AS tb, x.n AS na, y.n AS nb FROM (SELECT DISTINCT p.id AS a, q.id AS b FROM rare p JOIN rare q ON p.token = q.token AND p.id < q.id) JOIN d x ON x.id = a JOIN d y ON y.id = b"""
+#: Titles are paired from this Jaccard similarity of their token sets on. No pair with a story score of 0.68 has less.
+PAIRED = 0.44
+_PAIRS = f"""SELECT x.id AS a, y.id AS b, x.t AS ta, y.t AS tb, x.n AS na, y.n AS nb FROM
+  (SELECT p.id AS a, q.id AS b, count(*) AS c FROM w p JOIN w q ON p.token = q.token AND p.id < q.id GROUP BY 1, 2) JOIN d x ON x.id = a JOIN d y ON y.id = b
+  WHERE c / (len(list_distinct(x.t)) + len(list_distinct(y.t)) - c) >= {PAIRED}"""
 _PAIR_CTES = {
-    "d": f"SELECT id, {Q.dedupe_tokens('title')} AS t, {Q.dedupe_normal('title')} AS n FROM articles",
-    "rare": "SELECT id, token FROM (SELECT id, unnest(list_distinct(t)) AS token FROM d) QUALIFY count(*) OVER (PARTITION BY token) BETWEEN 2 AND 5",
+    "every": f"SELECT id, {Q.dedupe_tokens('title')} AS t, {Q.dedupe_normal('title')} AS n FROM articles",
+    "titles": "SELECT id, min(id) OVER (PARTITION BY list_sort(list_distinct(t))) AS rep FROM every WHERE len(t) > 0",
+    "d": "SELECT * FROM every WHERE id IN (SELECT rep FROM titles)",
+    "w": "SELECT id, unnest(list_distinct(t)) AS token FROM d",
     "p": _PAIRS,
 }
 
 
-def _title_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of articles whose titles share a token that at most five articles have."""
+def _titles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Articles (id, rep, n) by equal title tokens, and pairs (a, b) of such groups with their least articles' titles.
+
+    Every pair of titles alike is found, through groups: equal titles are never paired with each other.
+    """
     d = T.articles(spark, sf).select("id", X.dedupe_tokens(F.col("title")).alias("tokens"), X.dedupe_normal(F.col("title")).alias("n"))
+    groups, pairs = V.jaccard_links(d, PAIRED)
     side = lambda c: d.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}"), F.col("n").alias(f"n{c}"))
-    return V.token_pairs(d, 5).join(side("a"), "a").join(side("b"), "b")
+    return groups, saved(pairs, "title-pairs").join(side("a"), "a").join(side("b"), "b")
+
+
+def _title_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _titles(spark, sf)[1]
+
+
+@query("j23_title_groups", T.sql("SELECT id, rep, count(*) OVER (PARTITION BY rep) AS n FROM titles", "articles", **{k: _PAIR_CTES[k] for k in ("every", "titles")}))
+def j23(spark: SparkSession, sf: str) -> DataFrame:
+    """The article that stands for each one's title in pairs of titles, and how many share it."""
+    return _titles(spark, sf)[0]
 
 
 @query("v15_jaccard_overlap", T.sql("SELECT a, b, round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 6) AS jaccard, round(len(list_intersect(ta, tb)) / greatest(4, least(len(ta), len(tb))), 6) AS overlap FROM p", "articles", **_PAIR_CTES))
@@ -172,26 +193,6 @@ def v17(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- duplicates and clusters
 
-_SHINGLES = f"SELECT item_id, {Q.word_shingles('t')} AS s FROM (SELECT item_id, {Q.dedupe_tokens('text')} AS t FROM benchmark)"
-_MINHASH = "list_transform(range(96), lambda k: list_min(list_transform(s, lambda x: cast('0x' || substr(sha1(k || ':' || x), 1, 8) AS bigint))))"
-
-
-def _benchmark_minhash(spark: SparkSession, sf: str) -> DataFrame:
-    d = T.raw(spark, sf, "benchmark").select("item_id", X.dedupe_tokens(F.col("text")).alias("t"))
-    return d.select("item_id", V.minhash_sha1(X.word_shingles(F.col("t"))).alias("signature"))
-
-
-@query("d01_minhash", f"WITH x AS ({_SHINGLES}) SELECT item_id, {_MINHASH} AS signature FROM x")
-def d01(spark: SparkSession, sf: str) -> DataFrame:
-    return _benchmark_minhash(spark, sf)
-
-
-@query("d03_lsh_bands", f"WITH x AS ({_SHINGLES}), m AS (SELECT item_id, {_MINHASH} AS g FROM x), k AS (SELECT item_id, unnest(list_transform(range(24), lambda b: b || ':' || array_to_string(g[b * 4 + 1:b * 4 + 4], '|'))) AS key FROM m) SELECT key, count(*) AS items, min(item_id) AS first_item FROM k GROUP BY 1")
-def d03(spark: SparkSession, sf: str) -> DataFrame:
-    d = _benchmark_minhash(spark, sf).select("item_id", F.explode(V.bands(F.col("signature"))).alias("key"))
-    return d.groupBy("key").agg(F.count(F.lit(1)).alias("items"), F.min("item_id").alias("first_item"))
-
-
 _KEYS = f"SELECT id, sha256({Q.dedupe_normal('content')}) AS c, {Q.title_normal('title')} || '|' || source_name AS t FROM articles"
 
 
@@ -221,24 +222,6 @@ def d06(spark: SparkSession, sf: str) -> DataFrame:
     return G.components(_exact_links(spark, sf))
 
 
-@query(
-    "d08_dedupe_clusters",
-    T.sql(
-        """SELECT comp AS cluster, count(*) AS size, count(DISTINCT source_name) AS sources, arg_min(a.id, (-trust_score, published_at, a.id)) AS main_article, min(published_at) AS first_published
-        FROM (SELECT id, coalesce(comp, id) AS comp, published_at, source_name, source_id FROM articles LEFT JOIN (SELECT node, min(seen) AS comp FROM r GROUP BY 1) ON node = id) a JOIN sources s ON s.id = a.source_id GROUP BY 1""",
-        "articles",
-        "sources",
-        **_REACH,
-    ),
-)
-def d08(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters of exact duplicates: size, sources, and the main article by trust, time and id."""
-    comp = G.components(_exact_links(spark, sf)).withColumnRenamed("node", "id")
-    s = T.sources(spark, sf).select(F.col("id").alias("source_id"), "trust_score")
-    d = T.articles(spark, sf).join(comp, "id", "left").join(s, "source_id").withColumn("cluster", F.coalesce("comp", "id"))
-    return d.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("source_name").alias("sources"), F.min(F.struct((-F.col("trust_score")).alias("t"), "published_at", "id"))["id"].alias("main_article"), F.min("published_at").alias("first_published"))
-
-
 @query("d09_first_keeps")
 def d09(spark: SparkSession, sf: str) -> DataFrame:
     """Articles that repeat an earlier kept one: going through ids in order, each linked to the least kept one."""
@@ -246,17 +229,6 @@ def d09(spark: SparkSession, sf: str) -> DataFrame:
     return G.first_keeps_sets(*V.jaccard_links(d, 0.5))
 
 
-def _title_links(spark: SparkSession, sf: str) -> DataFrame:
-    d = _title_pairs(spark, sf)
-    return d.filter(V.jaccard(F.col("ta"), F.col("tb")) >= 0.5).select("a", "b")
-
-
-@query("d12_story_groups", T.sql("SELECT node, min(seen) AS comp FROM r2 GROUP BY 1", "articles", **_PAIR_CTES, l="SELECT a, b FROM p WHERE len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) >= 0.5", u2="SELECT a, b FROM l UNION SELECT b, a FROM l", r2="SELECT a AS node, a AS seen FROM u2 UNION SELECT r2.node, u2.b FROM r2 JOIN u2 ON u2.a = r2.seen"))
-def d12(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups of stories whose titles are alike, by components of similar pairs."""
-    return G.components(_title_links(spark, sf))
-
-
 @query("d17_event_dedupe", "SELECT o_custkey, cast(o_orderdate AS date) AS event_date, min(o_orderkey) AS kept, count(*) - 1 AS dropped FROM orders GROUP BY 1, 2")
 def d17(spark: SparkSession, sf: str) -> DataFrame:
     """One calendar event per title and date; the customer stands for the title."""
