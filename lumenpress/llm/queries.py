@@ -57,8 +57,9 @@ LISTED_HOSTS = [f"{name}.example.{top}" for name in ("adult-x", "ads-track", "ca
 
 def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of all pages' urls."""
-    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
-    listed = spark.createDataFrame([(x,) for x in LISTED_HOSTS], "host string")
+    # as SQL, so that no Python worker makes these two tables
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES) + " AS t(verdict, host, path)")
+    listed = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{h}')" for h in LISTED_HOSTS) + " AS t(host)")
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.filter_urls(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
 

@@ -134,7 +134,7 @@ def filter_urls(df: DataFrame, rules: DataFrame, listed_hosts: DataFrame | None
     spark = df.sparkSession
     host, path = host_path(F.col(url))
     d = df.withColumns({"host": host, "path": path})
-    rules = rules.select("verdict", F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.length(F.coalesce("path", F.lit(""))).alias("k")).filter("host <> ''")
+    rules = rules.select("verdict", F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.length(F.coalesce("path", F.lit(""))).alias("k")).filter("host <> ''")
     lengths = sorted(x["k"] for x in rules.select("k").distinct().collect())  # path lengths: bounded by the longest path of a rule
     keys = candidate_keys(F.col("host"), F.col("path"), lengths) if lengths else None
     sets: dict[str, Cascade] = {}
@@ -144,7 +144,7 @@ def filter_urls(df: DataFrame, rules: DataFrame, listed_hosts: DataFrame | None
             sets[verdict] = Cascade.build(rules.filter(F.col("verdict") == verdict).select(F.concat("host", "path").alias("key")), universe)
     own = candidate_keys(F.col("host"), F.lit(""), [0])
     hosts = d.filter("host <> ''").select(F.explode(own).alias("k")).select(F.col("k.key").alias("key"))
-    bad = Cascade.build(listed_hosts.select(F.lower("host").alias("key")) if listed_hosts is not None else spark.createDataFrame([], "key string"), hosts)
+    bad = Cascade.build(listed_hosts.select(F.translate("host", UPPER, LOWER).alias("key")) if listed_hosts is not None else spark.range(0).select(F.col("id").cast("string").alias("key")), hosts)
     none = F.lit(None).cast("struct<length:int,host_length:int,key:string,verdict:string>")
     best = none
     if lengths:
