@@ -14,7 +14,8 @@ LADDERS = {
 
 
 def hours_old(when: Column, as_of: Column) -> Column:
-    return F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(when.cast("timestamp"))) / 3600e6)
+    """Hours since then, not less than 0; null where undated (greatest alone would skip the null)."""
+    return F.when(when.isNotNull(), F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(when.cast("timestamp"))) / 3600e6))
 
 
 def freshness(when: Column, as_of: Column, ladder: str) -> Column:
