@@ -16,8 +16,8 @@ SEARCH_STOP = ["ve", "veya", "ile", "bir", "bu", "şu", "su", "da", "de", "için
 BM25_STOP = ["ve", "veya", "ile", "bir", "bu", "şu", "o", "da", "de", "mi", "mı", "için", "olarak", "olan", "gibi", "çok", "daha", "sonra"]
 # Suffixes in the order in which the search stemmer tries them, in plain letters.
 SEARCH_SUFFIXES = [
-    "lerinden", "larindan", "lerinden", "lerinden", "lerin", "larin", "lari", "leri", "lerde", "larda",
-    "inden", "dan", "den", "dir", "dir", "dur", "dur", "lar", "ler", "nin", "nin", "nun", "nun", "in", "un", "in", "un", "de", "da", "e", "a",
+    "lerinden", "larindan", "lerin", "larin", "lari", "leri", "lerde", "larda",
+    "inden", "dan", "den", "dir", "dur", "lar", "ler", "nin", "nun", "in", "un", "de", "da", "e", "a",
 ]
 # Openings that titles drop.
 TITLE_OPENINGS = ["son dakika", "breaking news", "canlı", "özel haber"]
@@ -72,8 +72,10 @@ def search_stem(w: Column) -> Column:
     return out
 
 
-def search_tokens(x: Column) -> Column:
-    stems = F.transform(F.split(F.regexp_replace(search_normal(x), "-", "-"), " "), search_stem)
+def search_tokens(x: Column, distinct: bool = False) -> Column:
+    """Stems of the search form; with distinct, each word is stemmed once, for uses that only ask what is there."""
+    own = F.split(search_normal(x), " ")
+    stems = F.transform(F.array_distinct(own) if distinct else own, search_stem)
     return F.filter(stems, lambda w: (F.length(w) >= 2) & ~w.isin(SEARCH_STOP))
 
 

@@ -25,13 +25,15 @@ def field_search(articles: DataFrame, query: str, content_chars: int = 2500) ->
     articles: id, title, labels, summary, content, source. The content field is its beginning, as the scoring
     rule has it; the phrase is looked for everywhere.
     """
-    q = X.search_tokens(X.sanitize_query(F.lit(query)))
-    phrase = X.search_normal(X.sanitize_query(F.lit(query)))
+    # the query's tokens once, as constants: as expressions they would be computed for every row
+    asked = articles.sparkSession.range(1).select(X.search_tokens(X.sanitize_query(F.lit(query))).alias("q"), X.search_normal(X.sanitize_query(F.lit(query))).alias("p")).first()
+    q, phrase = F.array(*(F.lit(t) for t in asked["q"])).cast("array<string>"), F.lit(asked["p"])
     fields = {"title": F.col("title"), "labels": F.col("labels"), "summary": F.col("summary"), "content": F.substring("content", 1, content_chars), "source": F.col("source")}
-    d = articles.select("id", X.search_normal(F.concat_ws(" ", "title", "labels", "summary", "content", "source")).alias("all"), *(X.search_tokens(c).alias(f"t_{k}") for k, c in fields.items()))
+    d = articles.select("id", X.search_normal(F.concat_ws(" ", "title", "labels", "summary", "content", "source")).alias("all"), *(X.search_tokens(c, distinct=True).alias(f"t_{k}") for k, c in fields.items()))
     raw = sum((field_count(F.col(f"t_{k}"), q) * w for k, w in FIELD_WEIGHTS.items()), F.lit(0.0)) + F.when(F.col("all").contains(phrase), 5.0).otherwise(0.0)
-    score = F.least(F.lit(100.0), F.round(raw / (F.size(q) * 10 + 5) * 100, 2))
-    return d.select("id", score.alias("score")).filter("score > 0")
+    score = F.least(F.lit(100.0), F.round(raw / (len(asked["q"]) * 10 + 5) * 100, 2))
+    # a filter on the score would be pushed below it and compute it twice
+    return d.select("id", F.explode(F.filter(F.array(score), lambda s: s > 0)).alias("score"))
 
 
 def _is(term: str):
