@@ -68,6 +68,36 @@ def proximity(hours: Column, steps: list[tuple[float, float]], far: float = 0.0)
     return out.otherwise(far)
 
 
+# Ladders over the hours between two dates; score up to them, beyond the last one, and where one is missing.
+CLOSENESS = {
+    "cluster": ([(12, 1.0), (24, 0.85), (72, 0.55), (168, 0.25)], 0.0, 0.35),
+    "story": ([(1, 1.0), (3, 0.95), (6, 0.85), (12, 0.70), (24, 0.50)], 0.0, 0.35),
+    "related": ([(2, 1.0), (6, 0.9), (12, 0.75), (24, 0.55), (48, 0.35), (72, 0.15)], 0.0, 0.3),
+}
+
+
+def closeness(hours: Column, ladder: str) -> Column:
+    """How close two dates are by a named ladder: cluster, story or related."""
+    steps, far, missing = CLOSENESS[ladder]
+    return F.when(hours.isNull(), missing).otherwise(proximity(hours, steps, far))
+
+
+def source_boost(haystack: Column, sources: list[tuple[str, str, list[str], bool, str]]) -> Column:
+    """Boost of an article's normal text by a reader's sources (title, category, tags, favorite, trust), in their order.
+
+    A title found adds 5 (favorite) or 3, category and tags 1.5 each; a source's trust then multiplies the sum so far. At most 8.
+    """
+    out = F.lit(0.0)
+    for title, category, tags, favorite, trust in sources:
+        found = F.lit(False)
+        for t in tags:
+            if len(t) > 2:
+                found = found | haystack.contains(t)
+        add = F.when(haystack.contains(title), 5.0 if favorite else 3.0).otherwise(0.0) + F.when(haystack.contains(category) if category != "genel" else F.lit(False), 1.5).otherwise(0.0) + F.when(found, 1.5).otherwise(0.0)
+        out = (out + add) * {"low": 0.8, "high": 1.1}.get(trust, 1.0)
+    return F.least(F.lit(8.0), out)
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

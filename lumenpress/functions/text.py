@@ -21,6 +21,28 @@ SEARCH_SUFFIXES = [
 ]
 # Openings that titles drop.
 TITLE_OPENINGS = ["son dakika", "breaking news", "canlı", "özel haber"]
+# Markers that story titles drop, and names of the central bank in their common form, in order.
+STORY_MARKERS = ["son dakika", "breaking", "özel haber", "ozel haber", "canlı", "canli", "video", "foto galeri"]
+STORY_ALIASES = {"tcmb": "merkez bankasi", "merkezden": "merkez bankasi", "merkez bankasindan": "merkez bankasi", "piyasalarin bekledigi": "merkez bankasi faiz", "piyasaların beklediği": "merkez bankasi faiz"}
+# Words of titles on interest rates; three of them in a pair of titles tie it.
+FINANCE_HINTS = ["faiz", "merkez", "bankasi", "karar", "tcmb", "piyasa"]
+# Suffixes of the stemmers of related news, of stories and of comparisons.
+RELATED_SUFFIXES = [
+    "ından", "inden", "undan", "ünden", "ndan", "nden", "ının", "inin", "unun", "ünün", "nın", "nin", "nun", "nün",
+    "ında", "inde", "unda", "ünde", "nda", "nde", "ları", "leri", "lar", "ler", "yla", "yle", "la", "le",
+    "dan", "den", "tan", "ten", "da", "de", "ta", "te", "ya", "ye", "na", "ne", "yı", "yi", "yu", "yü",
+    "ın", "in", "un", "ün", "ca", "ce", "ça", "çe",
+]
+STORY_SUFFIXES = [
+    "ndan", "nden", "ından", "inden", "undan", "ünden", "nın", "nin", "nun", "nün", "ının", "inin", "unun", "ünün",
+    "dan", "den", "tan", "ten", "nda", "nde", "ında", "inde", "unda", "ünde", "da", "de", "ta", "te", "ya", "ye", "na", "ne",
+    "yla", "yle", "la", "le", "yı", "yi", "yu", "yü", "ın", "in", "un", "ün", "lar", "ler", "ları", "leri",
+    "ca", "ce", "ça", "çe", "a", "e", "ı", "i", "u", "ü",
+]
+COMPARISON_SUFFIXES = [
+    "nın", "nin", "nun", "nün", "dan", "den", "tan", "ten", "da", "de", "ta", "te", "lar", "ler", "ları", "leri",
+    "ın", "in", "un", "ün", "yı", "yi", "yu", "yü", "ı", "i", "u", "ü",
+]
 # Url parameters that only track readers.
 TRACKING = ["fbclid", "gclid", "dclid", "igshid", "mc_cid", "mc_eid", "yclid", "msclkid", "spm", "utm", "ref", "ref_src", "rss", "output"]
 
@@ -79,6 +101,39 @@ def search_tokens(x: Column, distinct: bool = False) -> Column:
     return F.filter(stems, lambda w: (F.length(w) >= 2) & ~w.isin(SEARCH_STOP))
 
 
+def stem(w: Column, suffixes: list[str]) -> Column:
+    """The longest suffix that leaves three letters is cut."""
+    return F.regexp_replace(w, f"^(.{{3,}}?)(?:{'|'.join(suffixes)})$", "$1")
+
+
+def plain_words(x: Column) -> Column:
+    """The words of a text in lower case as they stand between spaces."""
+    return F.filter(F.split(F.lower(F.translate(F.coalesce(x, F.lit("")), "İ", "i")), r"\s+"), lambda w: w != "")
+
+
+def related_stem(w: Column) -> Column:
+    return stem(F.split(w, "['‘’]")[0], RELATED_SUFFIXES)
+
+
+def story_stem(w: Column) -> Column:
+    """What stands before an apostrophe; else the word without its suffix."""
+    return F.when(w.rlike("['‘’]"), F.split(w, "['‘’]")[0]).otherwise(stem(w, STORY_SUFFIXES))
+
+
+def comparison_stem(w: Column) -> Column:
+    """Before an apostrophe, marks folded, without suffix; marked suffixes can't fit there."""
+    return stem(search_normal(F.split(w, "['’]")[0]), COMPARISON_SUFFIXES)
+
+
+def story_title(x: Column) -> Column:
+    """A title without punctuation and markers, the central bank under one name."""
+    t = F.regexp_replace(F.regexp_replace(lower_tr(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}\s]", " "), r"\s+", " ")
+    t = F.trim(F.regexp_replace(F.concat(F.lit(" "), F.trim(t), F.lit(" ")), f" (?:(?:{'|'.join(STORY_MARKERS)}) )+", " "))
+    for name, common in STORY_ALIASES.items():
+        t = F.replace(t, F.lit(name), F.lit(common))
+    return t
+
+
 def dedupe_tokens(x: Column) -> Column:
     return F.filter(F.split(dedupe_normal(x), " "), lambda w: (F.length(w) > 1) | w.rlike("^[0-9]+$"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +52,58 @@ def classify(docs: DataFrame, rules: Rules, other: str = "Diğer", capped: tuple
     return d.select("id", F.when(none, other).otherwise(name).alias("category"), F.when(none, 0.0).otherwise(F.round(F.least(F.lit(0.98), conf), 4)).alias("confidence"))
 
 
+def profile_cosines(docs: DataFrame, rules: Rules) -> DataFrame:
+    """(id, category, confidence) of docs (id, tokens): the category whose keywords' words are closest by cosine.
+
+    confidence = .35 + .65 * cosine + .30 * lead over the next one, at most .91; none from a cosine of .025 down.
+    Ties go to the earlier category.
+    """
+    profiles = {name: Counter(w for k in words for w in k.split()) for name, words in rules.items()}
+    tf = docs.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    value = lambda p: sum((F.when(F.col("token") == w, n).otherwise(0) for w, n in p.items()), F.lit(0))
+    d = tf.groupBy("id").agg(F.sum(F.col("tf") * F.col("tf")).alias("square"), *(F.sum(F.col("tf") * value(p)).alias(f"dot{i}") for i, p in enumerate(profiles.values())))
+    near = lambda i, p: F.col(f"dot{i}") / (F.sqrt("square") * math.sqrt(sum(n * n for n in p.values())))
+    rows = F.array(*(F.struct((-near(i, p)).alias("neg"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, p) in enumerate(profiles.items())))
+    d = d.select("id", F.array_sort(rows).alias("r"))
+    best, second = -F.col("r")[0]["neg"], -F.col("r")[1]["neg"]
+    conf = F.round(F.least(F.lit(0.91), 0.35 + best * 0.65 + (best - second) * 0.30), 4)
+    return d.select("id", F.when(best > 0.025, F.col("r")[0]["name"]).otherwise("Diğer").alias("category"), F.when(best > 0.025, conf).otherwise(0.0).alias("confidence"))
+
+
+def arbitrate(docs: DataFrame, by_rule: DataFrame, by_profile: DataFrame, reliable: float = 0.85, least: float = 0.55, shortest: int = 24) -> DataFrame:
+    """(id, category, confidence, origin) of docs (id, length) from two classifiers' results.
+
+    A reliable rule wins, else the more confident of both, the profile where equal; below ``least`` and for texts
+    shorter than ``shortest`` the category is Diğer.
+    """
+    rule = by_rule.select("id", F.col("category").alias("rc"), F.col("confidence").alias("rule"))
+    profile = by_profile.select("id", F.col("category").alias("pc"), F.col("confidence").alias("own"))
+    d = docs.join(rule, "id", "left").join(profile, "id", "left").fillna({"rule": 0.0, "own": 0.0})
+    short, sure = F.col("length") < shortest, F.col("rule") >= reliable
+    best = F.greatest("rule", "own")
+    category = F.when(short, "Diğer").when(sure, F.col("rc")).when(best < least, "Diğer").when(F.col("own") >= F.col("rule"), F.col("pc")).otherwise(F.col("rc"))
+    conf = F.when(short, F.when(F.col("length") > 0, 0.18).otherwise(0.0)).when(sure, F.col("rule")).otherwise(F.least(F.lit(0.98), best))
+    origin = F.when(short | (~sure & (best < least)), "fallback").when(sure | (F.col("own") < F.col("rule")), "keyword").otherwise("ml")
+    return d.select("id", category.alias("category"), conf.alias("confidence"), origin.alias("origin"))
+
+
+def counted_rules(docs: DataFrame, rules: Rules, most: int = 3, least: int = 2) -> DataFrame:
+    """(id, category, place, confidence) of docs (id, normal): the categories with most keyword hits, repeats counted.
+
+    confidence = .45 + .08 * hits + min(.12, .02 * keywords found), at most .75. Ties go to the earlier category.
+    """
+    n = F.col("normal")
+    count = lambda k: F.size(F.split(n, k)) - 1 if " " in k else F.size(F.filter(F.split(n, " "), lambda w: w == k))
+    counts = {name: [count(k) for k in words] for name, words in rules.items()}
+    hits = {name: sum(c, F.lit(0)) for name, c in counts.items()}
+    terms = {name: sum((F.when(x > 0, 1).otherwise(0) for x in c), F.lit(0)) for name, c in counts.items()}
+    rows = F.array(*(F.struct((-hits[k]).alias("neg"), F.lit(i).alias("i"), terms[k].alias("terms"), F.lit(k).alias("category")) for i, k in enumerate(rules)))
+    found = F.slice(F.array_sort(F.filter(rows, lambda r: r["neg"] <= -least)), 1, most)
+    d = docs.select("id", F.posexplode(found).alias("place", "r"))
+    conf = F.least(F.lit(0.75), 0.45 - F.col("r.neg") * 0.08 + F.least(F.lit(0.12), F.col("r.terms") * 0.02))
+    return d.select("id", "r.category", (F.col("place") + 1).alias("place"), F.round(conf, 4).alias("confidence"))
+
+
 def label_scores(docs: DataFrame, rules: Rules, threshold: float = 0.56) -> DataFrame:
     """(id, label, score, assigned) per document and label, scores independent of each other.
 

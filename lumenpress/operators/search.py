@@ -66,6 +66,24 @@ def term_statistics(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tf, tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
+def pair_bm25(docs: DataFrame, pairs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(a, b, score) of pairs of docs (id, tokens): mean BM25 of each for the other's terms over the larger one for its own."""
+    tf, df = term_statistics(docs)
+    size = docs.select("id", F.size("tokens").alias("len")).filter("len > 0")
+    whole = size.agg(F.count(F.lit(1)).alias("n"), (F.sum("len") / F.count(F.lit(1))).alias("avg")).select(F.struct("*")).scalar()
+    d = tf.join(df.select("token", "df"), "token").join(size, "id").withColumn("s", whole)
+    idf = F.log((F.col("s")["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    long = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest(F.col("s")["avg"], F.lit(1.0)))
+    w = saved(d.select("id", "token", (idf * F.col("tf") * (k1 + 1) / long).alias("w")), "term-weights")
+    own = w.groupBy("id").agg(F.sum("w").alias("own"))
+    side = lambda t, c: t.withColumnsRenamed({x: x if x == "token" else c if x == "id" else f"{x}_{c}" for x in t.columns})
+    both = pairs.select("a", "b").join(side(w, "a"), "a").join(side(w, "b"), ["b", "token"])
+    both = both.groupBy("a", "b").agg(F.sum(F.col("w_a") + F.col("w_b")).alias("shared"))
+    d = pairs.select("a", "b").join(both, ["a", "b"], "left").join(side(own, "a"), "a").join(side(own, "b"), "b")
+    score = F.coalesce("shared", F.lit(0.0)) / 2 / F.greatest("own_a", "own_b", F.lit(0.001))
+    return d.select("a", "b", F.round(F.least(F.lit(1.0), score), 6).alias("score"))
+
+
 def tfidf(docs: DataFrame, sublinear: bool = True) -> DataFrame:
     """(id, token, weight) of docs (id, tokens): (1 + ln tf) * (ln((n + 1) / (df + 1)) + 1), of length one per document."""
     tf, df = term_statistics(docs)

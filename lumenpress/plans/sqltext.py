@@ -48,6 +48,22 @@ def search_tokens(x: str) -> str:
     return f"list_filter(list_transform(string_split({search_normal(x)}, ' '), lambda w: {search_stem('w')}), lambda w: length(w) >= 2 AND w NOT IN {q(X.SEARCH_STOP)})"
 
 
+def stem(w: str, suffixes) -> str:
+    return f"regexp_replace({w}, '^(.{{3,}}?)(?:{'|'.join(suffixes)})$', '\\1')"
+
+
+def plain_words(x: str) -> str:
+    return f"list_filter(string_split_regex(lower(translate(coalesce({x}, ''), 'İ', 'i')), '\\s+'), lambda w: w <> '')"
+
+
+def story_title(x: str) -> str:
+    t = f"regexp_replace(regexp_replace({lower_tr(f"coalesce({x}, '')")}, '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')"
+    t = f"trim(regexp_replace(' ' || trim({t}) || ' ', ' (?:(?:{'|'.join(X.STORY_MARKERS)}) )+', ' ', 'g'))"
+    for name, common in X.STORY_ALIASES.items():
+        t = f"replace({t}, '{name}', '{common}')"
+    return t
+
+
 def dedupe_tokens(x: str) -> str:
     return f"list_filter(string_split({dedupe_normal(x)}, ' '), lambda w: length(w) > 1 OR regexp_matches(w, '^[0-9]+$'))"
 
