@@ -156,3 +156,42 @@ def moderation(text: Column, toxicity: Column, blocked: list[str]) -> Column:
     for w in blocked:
         bad = bad | low.contains(w)
     return F.when(bad | (toxicity >= 0.95), "REJECTED").when(toxicity >= 0.7, "PENDING").otherwise("APPROVED")
+
+
+Phrases = dict[str, list[str]]
+
+
+def most_hits(normal: Column, rules: Phrases, none: str, least: float = 1, weak: frozenset[str] = frozenset()) -> Column:
+    """The name with most of its phrases in a normal text, ties to the earlier name; ``none`` below ``least`` hits.
+
+    A weak phrase counts a quarter, so hits are summed in hundredths.
+    """
+    hits = lambda words: sum((F.when(normal.contains(w), 25 if w in weak else 100).otherwise(0) for w in words), F.lit(0))
+    best = F.array_min(F.array(*(F.struct((-hits(words)).alias("neg"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, words) in enumerate(rules.items()))))
+    return F.when(-best["neg"] >= round(least * 100), best["name"]).otherwise(none)
+
+
+def longest_phrase(text: Column, rules: Phrases, none: str) -> Column:
+    """The name of the longest phrase that a lower-case text has; of equally long ones the earlier."""
+    found = F
+    for w, name in sorted(((w, name) for name, words in rules.items() for w in words), key=lambda p: -len(p[0])):
+        found = found.when(text.contains(w), name)
+    return found.otherwise(none)
+
+
+def mentions(text: Column, rules: Phrases) -> Column:
+    """The names of which a lower-case text has a phrase, in the rules' order; phrases of up to three letters as whole words only."""
+    hit = lambda w: text.rlike(rf"(^|[^a-z0-9_]){w}([^a-z0-9_]|$)") if len(w) <= 3 else text.contains(w)
+    return F.array_compact(F.array(*(F.when(sum((hit(w).cast("int") for w in words), F.lit(0)) > 0, name) for name, words in rules.items())))
+
+
+def region_scores(fields: list[tuple[Column, int]], rules: Phrases) -> Column:
+    """Per name, as array of (name, score): the weights of (normal text, weight) fields summed over its keywords found.
+
+    A keyword is found as whole words, a single word of five letters and more also as a word's beginning. Highest score
+    first, ties in the rules' order; names without a hit are left out.
+    """
+    end = lambda w: "" if len(w) >= 5 and " " not in w else " "
+    score = lambda words: sum((F.when(F.concat(F.lit(" "), f, F.lit(" ")).contains(f" {w}{end(w)}"), weight).otherwise(0) for f, weight in fields for w in words), F.lit(0))
+    rows = F.array(*(F.struct((-score(words)).alias("neg"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, words) in enumerate(rules.items())))
+    return F.transform(F.filter(F.array_sort(rows), lambda r: r["neg"] < 0), lambda r: F.struct(r["name"].alias("name"), (-r["neg"]).alias("score")))

@@ -81,3 +81,56 @@ def flat_report(sections: dict[str, DataFrame], date: str) -> DataFrame:
 def write_csv(df: DataFrame, path: str) -> None:
     """A report as csv with a header, as UTF-8; one file per partition."""
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+# Words of an event's raw kind and its category, first match.
+EVENT_ALIASES = [
+    ("konser|müzik|music|jazz|rock|dj|akustik", "Konser"),
+    ("tiyatro|sahne|müzikal|opera|bale|oyun", "Tiyatro"),
+    ("festival|fest|şenlik|kültür yolu", "Festival"),
+    (r"stand\s*-?up|komedi|gösteri", "Stand-up"),
+    ("spor|maç|futbol|basket|voleybol|stadyum", "Spor"),
+    ("sergi|müze|galeri|bienal|dijital sanat", "Sergi"),
+    ("atölye|workshop|eğitim|seminer", "Atölye"),
+    ("fuar|expo", "Fuar"),
+    ("söyleşi|panel|konferans", "Söyleşi"),
+    ("kültür|sanat|opera|bale|klasik müzik", "Kültür Sanat"),
+    ("çocuk|aile|kids", "Çocuk"),
+]
+
+
+def event_category(raw: Column) -> Column:
+    """The category of an event's raw kind: the first alias that fits, else the kind itself, ``Etkinlik`` where there is none."""
+    found = F
+    for words, name in EVENT_ALIASES:
+        found = found.when(raw.rlike(f"(?i){words}"), name)
+    return found.when(F.coalesce(raw, F.lit("")).isin("", "Tümü"), "Etkinlik").otherwise(raw)
+
+
+def event_price(raw: Column) -> Column:
+    """The number in a price text: null for none, 0 where the text has no digit, null where it isn't one number."""
+    digits = F.regexp_replace(F.regexp_replace(raw, "[^0-9.,]", ""), "^([^,]*),", "$1.")
+    return F.when(F.coalesce(raw, F.lit("")) == "", F.lit(None)).when(digits == "", 0.0).otherwise(digits.try_cast("double"))
+
+
+def normal_events(raw: DataFrame) -> DataFrame:
+    """Events of (source, source_id, kind, title, start, venue, price): stable id, category, price, whether free."""
+    kind = F.coalesce(F.nullif("kind", F.lit("")), "title")
+    key = F.concat_ws("|", "source", "source_id", "title", F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss'.000Z'"), "venue")
+    price = event_price(F.col("price"))
+    return raw.select(
+        F.concat(X.slug(F.col("source")), F.lit("_"), F.substring(F.sha1(key), 1, 12)).alias("id"), "title", event_category(kind).alias("category"), price.alias("price"),
+        (F.coalesce(price == 0, F.lit(False)) | F.coalesce(F.col("price"), F.lit("")).rlike("(?i)ücretsiz|free")).alias("is_free"),
+    )
+
+
+def jsonld_items(docs: DataFrame, column: str = "jsonld") -> DataFrame:
+    """Items of JSON-LD texts, flattened: the item, those of its @graph and main entities below either; by type and headline."""
+    item = "`@type`:string,headline:string"
+    inner = f"struct<{item},mainEntity:struct<{item}>>"
+    d = docs.withColumn("__p", F.from_json(column, f"struct<{item},mainEntity:struct<{item}>,`@graph`:array<{inner}>>"))
+    flat = lambda c: F.struct(c["@type"].alias("type"), c["headline"].alias("headline"))
+    graph = F.coalesce("__p.@graph", F.array().cast(f"array<{inner}>"))
+    every = F.concat(F.array(flat(F.col("__p")), flat(F.col("__p.mainEntity"))), F.transform(graph, flat), F.transform(graph, lambda g: flat(g["mainEntity"])))
+    d = d.select(*docs.columns, F.explode(every).alias("__i")).filter("__i.type is not null")
+    return d.select(*(c for c in docs.columns if c != column), "__i.type", "__i.headline")
