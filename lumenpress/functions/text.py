@@ -228,3 +228,23 @@ def keyword_hit(normal: Column, keyword: str) -> Column:
 
 def trust_badge(trust: Column) -> Column:
     return F.when(trust >= 0.8, "high").when(trust >= 0.5, "medium").otherwise("low")
+
+
+def distinct_bullets(bullets: Column, alike: float = 0.62) -> Column:
+    """Bullets in order without those that say the same; of two alike ones the longer stands at the first one's place.
+
+    Alike: equal normal forms, or that share of the shorter one's words of three letters and more. Bullets of under
+    three words need a digit. One article's bullets are compared with each other, inside its row; null gives null.
+    """
+    entry = lambda b: once(dedupe_normal(b), lambda n: F.struct(b.alias("text"), n.alias("normal"), F.filter(F.array_distinct(F.split(n, " ")), lambda w: F.length(w) > 2).alias("words")))
+    cut = F.transform(bullets, lambda b: entry(F.trim(F.regexp_replace(F.coalesce(b, F.lit("")), "[.!?…]+$", ""))))
+    said = F.filter(cut, lambda e: (F.length(e["normal"]) > 1) & ((F.size(F.split(e["normal"], " ")) >= 3) | e["normal"].rlike("[0-9]")))
+    same = lambda x, e: (x["normal"] == e["normal"]) | ((F.size(x["words"]) > 0) & (F.size(e["words"]) > 0) & (F.size(F.array_intersect(x["words"], e["words"])) >= alike * F.least(F.size(x["words"]), F.size(e["words"]))))
+
+    def add(kept: Column, e: Column) -> Column:
+        at = F.array_position(F.transform(kept, lambda x: same(x, e)), True)
+        swapped = F.transform(kept, lambda x, i: F.when((i + 1 == at) & (F.length(e["text"]) > F.length(x["text"])), e).otherwise(x))
+        return F.when(at == 0, F.array_append(kept, e)).otherwise(swapped)
+
+    kind = "array<struct<text:string,normal:string,words:array<string>>>"
+    return F.transform(F.aggregate(said, F.array().cast(kind), lambda kept, e: add(kept, e).cast(kind)), lambda e: e["text"])

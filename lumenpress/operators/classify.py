@@ -195,3 +195,18 @@ def region_scores(fields: list[tuple[Column, int]], rules: Phrases) -> Column:
     score = lambda words: sum((F.when(F.concat(F.lit(" "), f, F.lit(" ")).contains(f" {w}{end(w)}"), weight).otherwise(0) for f, weight in fields for w in words), F.lit(0))
     rows = F.array(*(F.struct((-score(words)).alias("neg"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, words) in enumerate(rules.items())))
     return F.transform(F.filter(F.array_sort(rows), lambda r: r["neg"] < 0), lambda r: F.struct(r["name"].alias("name"), (-r["neg"]).alias("score")))
+
+
+# Words that tell Turkish and English in the light detection.
+LIGHT_TR = ["ve", "bir", "için", "türkiye", "açıklama", "son", "dakika", "bakan", "dolar"]
+LIGHT_EN = ["the", "and", "for", "with", "from", "government", "market", "president", "company"]
+
+
+def light_language(text: Column, fallback: str = "unknown") -> Column:
+    """tr from a score of two on, marked letters counting two and hint words one; en from two hints or eight words without marked letters on."""
+    normal = X.dedupe_normal(text)
+    words = F.split(normal, " ")
+    marked = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "[^çğıİöşüÇĞÖŞÜ]", ""))
+    hints = lambda known: F.size(F.filter(words, lambda w: w.isin(known)))
+    turkish, english = marked * 2 + hints(LIGHT_TR) >= 2, (hints(LIGHT_EN) >= 2) | ((F.size(words) >= 8) & (marked == 0))
+    return F.when(normal == "", fallback).when(turkish, "tr").when(english, "en").otherwise(fallback)

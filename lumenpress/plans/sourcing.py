@@ -200,3 +200,28 @@ def c34(spark: SparkSession, sf: str) -> DataFrame:
     w = T.articles(spark, sf).select(F.explode(F.split(X.vector_normal(F.col("content")), " ")).alias("label"))
     w = w.filter((F.length("label") > 2) & ~F.col("label").rlike("^[0-9]+$") & ~F.col("label").isin(X.SEARCH_STOP))
     return w.groupBy("label").agg(F.count(F.lit(1)).alias("weight")).orderBy(F.desc("weight"), "label").limit(20)
+
+
+@query("c19_light_language", T.sql(
+    f"""SELECT id, CASE WHEN n = '' THEN 'unknown' WHEN m * 2 + len(list_filter(w, lambda x: x IN {Q.q(C.LIGHT_TR)})) >= 2 THEN 'tr' WHEN len(list_filter(w, lambda x: x IN {Q.q(C.LIGHT_EN)})) >= 2 OR (len(w) >= 8 AND m = 0) THEN 'en' ELSE 'unknown' END AS language
+    FROM (SELECT id, n, m, string_split(n, ' ') AS w FROM (SELECT id, {Q.dedupe_normal('summary')} AS n, length(regexp_replace(summary, '[^çğıİöşüÇĞÖŞÜ]', '', 'g')) AS m FROM articles))""", "articles",
+))
+def c19(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of summaries by marked letters and hint words."""
+    return T.articles(spark, sf).select("id", C.light_language(F.col("summary")).alias("language"))
+
+
+@query("t30_distinct_bullets")
+def t30(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences of summaries as bullets, without those that say the same."""
+    d = T.articles(spark, sf).select("id", X.distinct_bullets(F.split("summary", "(?<=[.!?])\\s+")).alias("bullets"))
+    return d.select("id", F.posexplode("bullets").alias("place", "bullet"))
+
+
+@query("f19_old_reports", T.sql("SELECT DISTINCT category_id FROM articles", "articles"))
+def f19(spark: SparkSession, sf: str) -> DataFrame:
+    """Of reports stored by category those over 30 days old, seen from 31 days after they were written."""
+    path = scratch_path(spark, "reports")
+    T.articles(spark, sf).groupBy("category_id").agg(F.count(F.lit(1)).alias("articles")).write.partitionBy("category_id").mode("overwrite").parquet(path)
+    old = feeds.old_files(spark, path, F.current_timestamp() + F.expr("INTERVAL 31 DAYS") - F.expr("INTERVAL 30 DAYS"))
+    return old.select(F.regexp_extract("path", r"category_id=(\d+)", 1).cast("int").alias("category_id")).distinct()

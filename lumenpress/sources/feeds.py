@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -134,3 +134,9 @@ def jsonld_items(docs: DataFrame, column: str = "jsonld") -> DataFrame:
     every = F.concat(F.array(flat(F.col("__p")), flat(F.col("__p.mainEntity"))), F.transform(graph, flat), F.transform(graph, lambda g: flat(g["mainEntity"])))
     d = d.select(*docs.columns, F.explode(every).alias("__i")).filter("__i.type is not null")
     return d.select(*(c for c in docs.columns if c != column), "__i.type", "__i.headline")
+
+
+def old_files(spark: SparkSession, folder: str, before: Column) -> DataFrame:
+    """(path, modified_at) of a folder's files last changed before a time; contents aren't read."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return d.select("path", F.col("modificationTime").alias("modified_at")).filter(F.col("modified_at") < before)
