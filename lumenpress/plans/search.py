@@ -421,13 +421,13 @@ _BASE = {"rated": _RATING, "g": _G, "nn": _NN, "sims": _SIMS}
         FROM near JOIN g ON g.user_id = other WHERE (near.user_id, g.article_id) NOT IN (SELECT user_id, article_id FROM g) GROUP BY 1, 2)""",
         "user_events",
         **_BASE,
-        near=_NEAR.format(10),
+        near=_NEAR.format(10) + " AND user_id IN (SELECT user_id FROM g GROUP BY 1 HAVING count(*) >= 3)",
     ),
 )
 def r08_cf(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of unread articles from the ten nearest users."""
+    """Scores of unread articles from the ten nearest users, for readers of three articles and more."""
     r = _ratings(spark, sf)
-    return R.user_cf(r, R.user_similarities(r))
+    return R.user_cf(r, R.user_similarities(r), least_items=3)
 
 
 @query(
