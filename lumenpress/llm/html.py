@@ -6,9 +6,14 @@ path. A page without that path, or with too little of its text there, is extract
 
 A page is scanned as a flat list of tags; text is never parsed into a tree of objects.
 
-* Dropped anywhere: scripts, styles, menus, footers, sidebars, forms, embedded objects, comments of the markup,
-  and elements whose class, id or role says menu, advert, notice, sharing, related pages or reader comments.
-* A header is dropped unless it stands inside the article. Figure captions are text like other text.
+* Dropped anywhere: scripts, styles, menus, footers, sidebars, embedded objects, comments of the markup, hidden elements,
+  and elements one of whose classes, or whose id or role, says menu, advert, notice, sharing or reader comments. A class
+  says so as a whole: by such a word alone, or beside words of layout only (``ad-box``, not ``ad-hoc-report``).
+* Dropped where that loses no article: forms, headers, and elements named by words that also name contents (``discussion``,
+  ``widget``). They stay if they hold most of the page's paragraphs, or, but for forms, stand inside the article or its
+  container and consist of paragraphs. Headings are never dropped by name, inline elements not within an article.
+* If that leaves no paragraph of a page that has some, the named element or form with most of them stays.
+* Figure captions are text like other text.
 * The score of a container is its share of the page's text outside of links. The best container is the article or
   main element with most of that text, else the lowest box that holds nearly all of it, and from which no paragraph
   of the box around it is left out.
@@ -56,16 +61,21 @@ _PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre",
 _ENDED = {"p", "li", "dt", "dd"}
 #: Tag names that prose after a "<" is told from.
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "map", "mark", "math", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture", "option", "optgroup", "input", "output", "progress", "meter", "hgroup", "colgroup", "frame", "frameset"}
-#: Names that only tell about something else on the page, or about the article's own head.
-_ABOUT_OTHERS = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:has|with|no|without)[_-][\w-]+|(?:entry|post|article|story|content)[_-]header)(?=$|\s)", re.I)
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adbox|banner|banners|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay"
-    r"|sidebar|side-bar|aside|rail|widget|widgets|menu|menus|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|toolbar|topbar|masthead|site-header|page-header|header|footer|site-footer"
-    r"|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|search|tags|comment|comments|commentlist|disqus|respond|replies|reply|discussion|reactions|copyright|skip)(?=$|[\s_-])",
-    re.I,
+#: Words of classes and ids: these drop an element; these do unless it holds paragraphs of the article; these only tell of layout.
+_BAD = set(
+    "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored cookie cookies consent gdpr notice notices popup modal overlay sidebar sidebars menu menus nav navbar navigation"
+    " breadcrumb breadcrumbs pagination pager toolbar topbar masthead footer share sharing sharebar newsletter subscribe subscription signup login comment comments commentlist disqus respond".split()
+)
+_SOFT = set("header alert aside rail widget widgets social related recommended recommendations search tags reply replies discussion discussions thread threads reactions copyright skip promo promotion banner banners".split())
+_LAYOUT = set(
+    "area bar block body bottom box btn button buttons cell center col column container content cta floating fixed form global group holder horizontal icon icons inline inner item items label left link links list main"
+    " mobile module outer page panel post posts article articles story stories primary region right row secondary section side site slot small sticky strip text top unit vertical wrap wrapper zone".split()
 )
 _BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 _DIGITS = re.compile(r"\d+")
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])|\d+")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 DEPTH = 12
 #: Share of a page's text that its best container holds: any box, and an article or main element.
 NEARLY, MOST = 0.98, 0.5
@@ -73,6 +83,19 @@ NEARLY, MOST = 0.98, 0.5
 ENOUGH, FEW = 0.5, 0.15
 
 
+#: Share of a page's paragraphs that keeps an element from being dropped, and of an element's text in the article that its paragraphs make up.
+MAJORITY, PROSE = 0.5, 0.4
+
+
+class _Lost:
+    """A dropped element: where its tag stands, why it was dropped, and its text, also that outside of links, and in paragraphs."""
+
+    __slots__ = ("at", "why", "article", "up", "text", "plain", "paragraphs")
+
+    def __init__(self, at: int, why: str, article: bool, up: _Box):
+        self.at, self.why, self.article, self.up, self.text, self.plain, self.paragraphs = at, why, article, up, 0, 0, 0
+
+
 class _Box:
     __slots__ = ("tag", "path", "drop", "up", "good", "paragraphs")
 
@@ -95,13 +118,22 @@ def _attributes(raw: str) -> tuple[str, str, bool]:
             about += " " + value
         elif name == "role":
             off |= value.lower() in _BAD_ROLES
-        elif name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value.lower() == "true":
+        elif name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSEEN.search(value):
             off = True
     return classes, about, off
 
 
-def _bad(about: str) -> bool:
-    return bool(about) and bool(_BAD.search(about)) and bool(_BAD.search(_ABOUT_OTHERS.sub("", about)))
+def _named(about: str) -> str:
+    """What the classes and the id say of an element: "bad", "soft" or nothing."""
+    found = ""
+    for name in about.split():
+        parts = {x.lower() for x in _PARTS.split(name) if x}
+        if parts and parts <= _BAD | _SOFT | _LAYOUT:
+            if parts & _BAD:
+                return "bad"
+            if parts & _SOFT:
+                found = "soft"
+    return found
 
 
 def _is_tag(m: re.Match, end: int) -> bool:
@@ -118,22 +150,28 @@ def _general(tag: str, classes: str) -> str:
     return ".".join([tag, *sorted({_DIGITS.sub("0", c.lower()) for c in classes.split()})])
 
 
-def scan(page: str, want: str | None = None) -> tuple[list[_Box], list[str]]:
-    """All boxes of a page in order of their start, and the blocks of the text inside boxes on path ``want``.
+def scan(page: str, want: str | None = None, spared: frozenset[int] = frozenset()) -> tuple[list[_Box], list[str], list[_Lost]]:
+    """All boxes of a page in order of their start, the blocks of the text inside boxes on path ``want``, and what was dropped.
 
-    The first box is the page itself, with an empty path.
+    The first box is the page itself, with an empty path. spared: where elements begin that aren't dropped.
     """
     root = _Box("", "", False, None)
     stack, boxes, blocks = [root], [root], []
     texts: list[str] = []
     inside = int(want == "")  # how many open boxes are on the wanted path
     drops = 0  # how many open boxes are dropped
+    losses: list[_Lost] = []
     ignored: list[str] = []  # a dropped element that is no box, and what is open inside it
     link, kind = False, ""
     at, end = 0, len(page)
 
     def text(lo: int, hi: int) -> None:
-        if hi > lo and not drops and not ignored:
+        if hi > lo and (drops or ignored):
+            n = len(page[lo:hi].strip())
+            losses[-1].text += n
+            losses[-1].plain += 0 if link else n
+            losses[-1].paragraphs += n if kind in _PARAGRAPHS and not link else 0
+        elif hi > lo:
             raw = page[lo:hi]
             if inside:
                 texts.append(raw)
@@ -170,6 +208,8 @@ def scan(page: str, want: str | None = None) -> tuple[list[_Box], list[str]]:
             if tag == "a" or tag in _BLOCKS:
                 link = False
             if ignored:
+                if tag in _BLOCKS:
+                    kind = ""
                 if tag in ignored:
                     del ignored[len(ignored) - 1 - ignored[::-1].index(tag) :]
                     continue
@@ -197,6 +237,9 @@ def scan(page: str, want: str | None = None) -> tuple[list[_Box], list[str]]:
         if ignored and len(ignored) == 1 and ignored[0] in _ENDED and (tag == ignored[0] or ignored[0] == "p" and tag in _BLOCKS and tag != "br"):
             ignored.clear()
         if ignored:
+            if tag in _BLOCKS and tag not in _VOID:
+                kind = tag
+            link |= tag == "a"
             if (tag == ignored[-1] or tag in _BOXES) and not m[3].endswith("/"):
                 ignored.append(tag)
             continue
@@ -208,9 +251,12 @@ def scan(page: str, want: str | None = None) -> tuple[list[_Box], list[str]]:
         if tag in _VOID or tag not in _BOXES and tag not in _DROPPED and not m[3]:
             continue
         classes, about, off = _attributes(m[3])
-        bad = off or tag in _DROPPED or (tag not in _ROOTS and tag not in ("article", "main") and _bad(about))
-        if tag == "header" and not bad:
-            bad = not any(x.tag in ("article", "main") for x in stack)
+        article = any(x.tag in ("article", "main") for x in stack)
+        said = _named(about) if tag not in _ROOTS and tag not in ("article", "main") and tag not in _HEADINGS and not (article and tag in _INLINE) else ""
+        why = "tag" if tag in _DROPPED and tag != "form" else "bad" if off or said == "bad" else "form" if tag == "form" else "soft" if said or tag == "header" and not article else ""
+        bad = bool(why) and (why == "tag" or m.start() not in spared)
+        if bad and not drops:
+            losses.append(_Lost(m.start(), why, article, stack[-1]))
         if tag in _BOXES:
             if len(stack) > 400:  # deeper boxes count as their parent
                 continue
@@ -223,7 +269,7 @@ def scan(page: str, want: str | None = None) -> tuple[list[_Box], list[str]]:
             block()
             ignored.append(tag)
     block()
-    return boxes, blocks
+    return boxes, blocks, losses
 
 
 def _held(boxes: list[_Box]) -> tuple[dict[str, int], dict[str, _Box], dict[str, set[str]]]:
@@ -268,9 +314,38 @@ def _best(boxes: list[_Box]) -> tuple[str | None, dict[str, int]]:
     return at, held
 
 
+def _within(x: _Lost, path: str | None) -> bool:
+    box = x.up
+    while box is not None and box.path != path:
+        box = box.up
+    return box is not None
+
+
+def _understood(page: str) -> tuple[str | None, dict[str, int], frozenset[int]]:
+    """The best container's path, the text per path, and the elements that are spared."""
+    spared: frozenset[int] = frozenset()
+    while True:
+        boxes, _, lost = scan(page, None, spared)
+        own, held = _best(boxes)
+        kept = sum(b.paragraphs for b in boxes if not b.drop)
+        some = [x for x in lost if x.why != "tag"]
+        written = kept or any(x.paragraphs for x in lost)  # whether the page has paragraphs at all
+        if not written:
+            kept = held.get("", 0)
+        prose = {x.at: x.paragraphs if written else x.plain for x in some}
+        soft = [x for x in some if x.why != "bad" and prose[x.at]]
+        most = MAJORITY * (kept + sum(prose[x.at] for x in soft))
+        more = {x.at for x in soft if prose[x.at] > most or x.why == "soft" and x.paragraphs >= max(1, PROSE * x.text) and (x.article or own is not None and _within(x, own))}
+        if not more and not kept and (left := max(some, key=lambda x: prose[x.at], default=None)) and held.get("", 0) < (1 - NEARLY) * prose[left.at]:
+            more = {left.at}
+        if not more:
+            return own, held, spared
+        spared |= more
+
+
 def best_path(page: str) -> tuple[str | None, float]:
     """The path of the page's best container (empty for the page itself), and the share of the page's text it holds."""
-    path, held = _best(scan(page)[0])
+    path, held, _ = _understood(page)
     return (None, 0.0) if path is None else (path, held[path] / held[""])
 
 
@@ -279,14 +354,15 @@ def extract(page: str | None, path: str | None) -> str:
     if not page:
         return ""
     path = path or None
-    boxes, blocks = scan(page, path)
-    own, held = _best(boxes)
+    own, held, spared = _understood(page)
     if own is None:  # all text is in links, or there is none
-        return "\n".join(blocks or scan(page, "")[1])
+        return "\n".join((path and scan(page, path, spared)[1]) or scan(page, "", spared)[1])
     share = held.get(path, 0) / held[own] if path else 0
-    if path == own or share >= ENOUGH or share >= FEW and len(blocks) > 1:
-        return "\n".join(blocks)
-    return "\n".join(scan(page, own)[1])
+    if share >= FEW:
+        blocks = scan(page, path, spared)[1]
+        if path == own or share >= ENOUGH or len(blocks) > 1:
+            return "\n".join(blocks)
+    return "\n".join(scan(page, own, spared)[1])
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
