@@ -95,7 +95,7 @@ class Index:
     def __init__(self, rows: DataFrame, lists: int | None = None, sample: int = SAMPLE):
         n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
         self.count, self.width = n, max(1, width or 0)
-        k = max(1, min(LISTS, round(math.sqrt(n)) if lists is None else lists))
+        k = max(2, min(LISTS, round(math.sqrt(n)) if lists is None else lists))
         self.centres = self._fit(rows, n, k, sample)
         spread = rows.mapInArrow(functools.partial(_assign, self.centres), "list int, far double, vec_id bigint, label bigint, v array<double>, at bigint")
         spread = saved(spread, "negatives-assigned")

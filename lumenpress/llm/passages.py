@@ -272,7 +272,8 @@ def _ordered(docs: DataFrame) -> DataFrame:
     dealt = docs.repartitionByRange(F.asc_nulls_last("key"), "digest", "block", "place").sortWithinPartitions(F.asc_nulls_last("key"), "digest", "block", "place")
     dealt = saved(dealt.withColumn("order", F.monotonically_increasing_id()), "passages-order")  # grows along the ranges
     firsts = dealt.groupBy("digest").agg(F.min("order").alias("first"))
-    d = dealt.join(firsts, "digest").withColumn("order", F.when(F.col("order") == F.col("first"), F.col("order")).otherwise(-1))
+    # by the order itself, which is one row's own: a digest may be that of a third of all rows
+    d = dealt.join(firsts, F.col("order") == F.col("first"), "left").withColumn("order", F.coalesce("first", F.lit(-1)))
     return d.select("block", "place", "order").groupBy("block").applyInArrow(_order_note, _NOTE)
 
 
