@@ -45,6 +45,8 @@ _APART = (1 - SIMILARITY) / 2
 MOST_APART = int(M * _APART + 6 * (M * _APART * (1 - _APART)) ** 0.5)
 ROUNDS = 2
 BLOCK = 512
+#: Members of a bucket that one join key may hold; larger buckets are compared in packs of so many.
+PACK = 2048
 HOT = 1000
 BATCH_BYTES = 1 << 20
 
@@ -334,17 +336,17 @@ def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
 def _rest(members: DataFrame, nodes: DataFrame, held: DataFrame) -> DataFrame:
     """Links between members of a bucket that are of different components.
 
-    A semi join leaves the members for which the bucket has one of another component and of fitting size and
+    First only members stay for which the bucket has one of another component and of fitting size and
     sketch; sizes of similar texts are in the same class (powers of 1.25) or in neighbouring ones. These are dealt
     into blocks, and a task compares the sizes, sketches and bands of two blocks, or of one with itself. A pair is
     looked at in the first bucket it shares. Texts are fetched only for members that fit another one of the two
     blocks; then the task joins components as it finds links, and goes on only where a pair can still join two.
     """
     d = members.select("band", "node", "comp").join(held.select("node", "size", "sketch"), "node")
-    d = d.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / SIMILARITY))).cast("int"))
-    o = d.select(F.col("band").alias("o_band"), *(F.col(c).alias(f"o_{c}") for c in ("node", "comp", "size", "sketch")), F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("o_class"))
-    fits = (F.col("comp") != F.col("o_comp")) & _can_be_similar(F.col("size"), F.col("sketch"), F.col("o_size"), F.col("o_sketch"))
-    d = saved(d.join(o, (F.col("band") == F.col("o_band")) & (F.col("class") == F.col("o_class")) & fits, "left_semi").select("band", "node", "comp"), "open")
+    d = saved(d.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / SIMILARITY))).cast("int")), "classed")
+    large = d.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PACK).select("band")
+    small = _with_mates(d.join(large, "band", "left_anti"))
+    d = saved(small.unionByName(_with_mates_in_packs(d.join(large, "band", "left_semi"))), "open")
     count = d.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     d = d.join(count, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     d = d.join(nodes.select("node", "size", "sketch", "bands"), "node")
@@ -355,6 +357,55 @@ def _rest(members: DataFrame, nodes: DataFrame, held: DataFrame) -> DataFrame:
     return d.groupBy("band", "p", "q").applyInArrow(_linked, "a bigint, b bigint")
 
 
+def _with_mates(d: DataFrame) -> DataFrame:
+    """(band, node, comp) of members (with class) for which their bucket has a fitting one of another component."""
+    o = d.select(F.col("band").alias("o_band"), *(F.col(c).alias(f"o_{c}") for c in ("node", "comp", "size", "sketch")), F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("o_class"))
+    fits = (F.col("comp") != F.col("o_comp")) & _can_be_similar(F.col("size"), F.col("sketch"), F.col("o_size"), F.col("o_sketch"))
+    return d.join(o, (F.col("band") == F.col("o_band")) & (F.col("class") == F.col("o_class")) & fits, "left_semi").select("band", "node", "comp")
+
+
+def _with_mates_in_packs(d: DataFrame) -> DataFrame:
+    """The same for buckets of any size: packs of a class meet each other and those of the next class, two in a task."""
+    parts = saved(d.groupBy("band", "class").agg(F.ceil(F.count(F.lit(1)) / PACK).cast("int").alias("parts")), "parts")
+    dealt = d.join(parts, ["band", "class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    packs = dealt.groupBy("band", "class", "part").applyInArrow(_pack, "band bigint, class int, part int, node binary, comp binary, size binary, sketch binary")
+    packs = saved(packs, "packs")
+    near = lambda by, name: parts.select("band", (F.col("class") - by).alias("class"), F.col("parts").alias(name))
+    each = packs.join(near(0, "own"), ["band", "class"]).join(near(1, "above"), ["band", "class"], "left").join(near(-1, "below"), ["band", "class"], "left")
+    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda a, b, p, q: F.struct(a.alias("a"), b.alias("b"), p.alias("p"), q.alias("q"))
+    c, p = F.col("class"), F.col("part")
+    cells = F.concat(
+        F.transform(upto(F.col("own")), lambda q: cell(c, c, F.least(p, q), F.greatest(p, q))),
+        F.transform(upto(F.col("above")), lambda q: cell(c, c + 1, p, q)),
+        F.transform(upto(F.col("below")), lambda q: cell(c - 1, c, q, p)),
+    )
+    meet = each.select("band", "node", "comp", "size", "sketch", F.explode(cells).alias("cell")).select("band", "cell.*", "node", "comp", "size", "sketch")
+    return meet.groupBy("band", "a", "b", "p", "q").applyInArrow(_mated, "band bigint, node bigint, comp bigint").distinct()
+
+
+def _pack(t: pa.Table) -> pa.Table:
+    """One row of a pack's members."""
+    data = {c: t.column(c).to_numpy().astype(np.int64).tobytes() for c in ("node", "comp", "size")}
+    data["sketch"] = np.array(t.column("sketch").to_pylist(), np.int64).tobytes()
+    return pa.table({**{c: t.column(c).slice(0, 1) for c in ("band", "class", "part")}, **{c: pa.array([x], pa.binary()) for c, x in data.items()}})
+
+
+def _mated(t: pa.Table) -> pa.Table:
+    """Members of one or two packs that fit one of another component."""
+    sides = [[np.frombuffer(r[c], np.int64) for c in ("node", "comp", "size")] + [np.frombuffer(r["sketch"], _U).reshape(-1, -(-M // 64))] for r in t.select(["node", "comp", "size", "sketch"]).to_pylist()]
+    one, two = sides[0], sides[-1]
+    found = [np.zeros(len(one[0]), bool), np.zeros(len(two[0]), bool)]
+    for i in range(len(one[0])):
+        fit = (two[1] != one[1][i]) & (np.minimum(two[2], one[2][i]) >= SIMILARITY * np.maximum(two[2], one[2][i]))
+        at = np.flatnonzero(fit)
+        at = at[np.bitwise_count(two[3][at] ^ one[3][i]).sum(axis=1) <= MOST_APART]
+        found[0][i] |= len(at) > 0
+        found[1][at] = True
+    node, comp = (np.concatenate([s[k][f] for s, f in zip((one, two), found, strict=True)]) for k in range(2))
+    return pa.table({"band": pa.array([t.column("band")[0].as_py()] * len(node), pa.int64()), "node": pa.array(node, pa.int64()), "comp": pa.array(comp, pa.int64())})
+
+
 def _fitting(t: pa.Table) -> pa.Table:
     """Of the blocks p and q of a bucket (all columns of one group): members with the later ones (mates) whose links could join components, and these."""
     node, comp, size, block = (t.column(c).to_numpy() for c in ("node", "comp", "size", "block"))

@@ -325,9 +325,11 @@ def test_near_classes_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
-def test_blocks_lose_no_link(spark, monkeypatch):
-    """A group of borderline copies, in blocks of a few rows and without pivot rounds that help."""
+@pytest.mark.parametrize("pack", [2048, 3])
+def test_blocks_lose_no_link(spark, monkeypatch, pack):
+    """A group of borderline copies, in blocks and packs of a few rows and without pivot rounds that help."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "PACK", pack)
     rng = random.Random(21)
     words = prose(rng, 120).split()
     rows = []
