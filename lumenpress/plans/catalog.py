@@ -1,4 +1,4 @@
 """All registered queries: importing this module registers them."""
 
-from . import analytics, content, dedupe, extra, lists, more, search, sourcing, stories, streams  # noqa: F401
+from . import analytics, content, dedupe, extra, insight, lists, more, search, sourcing, stories, streams  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
