@@ -8,6 +8,7 @@ import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenpress.functions import text as X
@@ -103,15 +104,26 @@ def test_scores_of_all_pairs(spark):
     assert all(abs(got[k][0] - want[k][0]) < 1e-3 and got[k][1] == want[k][1] for k in want)
 
 
-def test_clusters_equal_all_pairs(spark):
-    rows = [r for r in some_articles() if r[0] != 102]  # covered by another text, but no shingle in common to find it by
+@pytest.mark.parametrize("banded", [False, True])
+def test_clusters_equal_all_pairs(spark, monkeypatch, banded):
+    """A small batch against all its pairs; as a large one, against all pairs that share a band, in blocks of a few."""
+    rows = some_articles()
     want = plain_scores(rows)
+    if banded:
+        monkeypatch.setattr(D, "PAIRWISE", 0)
+        monkeypatch.setattr(D, "BLOCK", 3)
+        monkeypatch.setattr(D, "ROUNDS", 1)
+        d = spark.createDataFrame([(k, f"{t} {s} {c}") for k, t, s, c in rows], "id long, x string").select("id", X.word_shingles(X.dedupe_tokens(F.col("x"))).alias("s")).filter(F.size("s") > 0)
+        bands = {r.id: set(r.b) for r in d.select("id", D.signature_bands(F.col("s")).alias("b")).collect()}
+        met = {p for p in want if bands.get(p[0], set()) & bands.get(p[1], set())}
+    else:
+        met = set(want)
     comp = {r[0]: r[0] for r in rows}
     content = {}
     for k, _, _, c in rows:
         if normal(c):
             content.setdefault(hashlib.sha256(normal(c).encode()).hexdigest(), []).append(k)
-    links = [(g[0], b) for g in content.values() for b in g[1:]] + [p for p, (s, _) in want.items() if s >= 0.85]
+    links = [(g[0], b) for g in content.values() for b in g[1:]] + [p for p, (s, _) in want.items() if s >= 0.85 and p in met]
     for a, b in links:
         x, y = comp[a], comp[b]
         comp = {k: min(x, y) if c in (x, y) else c for k, c in comp.items()}
