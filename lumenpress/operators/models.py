@@ -83,3 +83,61 @@ def evaluate(ratings: DataFrame, folds: int = 3, rank: int = 10, seed: int = 42)
         test = model.transform(d.filter(F.col("fold") == k).select(F.col("user_id").cast("int").alias("user"), F.col("article_id").cast("int").alias("item"), F.col("rating").cast("float").alias("rating")))
         out.append((k, *(RegressionEvaluator(metricName=m, labelCol="rating").evaluate(test) for m in ("rmse", "mae"))))
     return out
+
+
+# The least probability of a label, and seeds of the orders of chains.
+LABEL_FROM, CHAIN_SEEDS = 0.40, (11, 23, 37, 41, 53)
+
+
+class MultiLabel:
+    """Single models of labels, and chains in which each model also sees the labels before it; probabilities are averaged."""
+
+    def __init__(self, base: PipelineModel, single: dict[str, LogisticRegression], chains: list[tuple[list[str], dict[str, LogisticRegression]]], least: float):
+        self.base, self.single, self.chains, self.least = base, single, chains, least
+
+    def transform(self, docs: DataFrame) -> DataFrame:
+        """docs (tokens, ...) with labels: (label, confidence) from ``least`` on, the surest first."""
+        from pyspark.ml.functions import vector_to_array
+
+        d = self.base.transform(docs)
+        chance = lambda k: vector_to_array(f"{k}_p")[1]
+        sums = {n: F.lit(0.0) for n in self.single}
+        for n, m in self.single.items():
+            d = m.transform(d)
+        for k, (order, models) in enumerate(self.chains):
+            for n in order:
+                d = _assembled(d, k, order[: order.index(n)], [f"c{k}_{x}_y" for x in order[: order.index(n)]])
+                d = models[n].transform(d).drop(f"x{k}")
+                sums[n] = sums[n] + chance(f"c{k}_{n}")
+        both = {n: (chance(f"s_{n}") + sums[n] / len(self.chains)) / 2 if self.chains else chance(f"s_{n}") for n in self.single}
+        found = F.array(*(F.struct((-both[n]).alias("back"), F.lit(n).alias("label")) for n in both))
+        labels = F.transform(F.filter(F.array_sort(found), lambda x: -x["back"] >= self.least), lambda x: F.struct(x["label"].alias("label"), (-x["back"]).alias("confidence")))
+        return d.select(*docs.columns, labels.alias("labels"))
+
+
+def _assembled(d: DataFrame, k: int, before: list[str], columns: list[str]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=["features", *columns], outputCol=f"x{k}").transform(d)
+
+
+def multilabel(train: DataFrame, names: list[str], features: int = 1 << 14, seeds: tuple[int, ...] = CHAIN_SEEDS, least: float = LABEL_FROM) -> MultiLabel:
+    """Binary relevance and chains of logistic models on TF-IDF; train: tokens, and a column of 0.0 or 1.0 for each label.
+
+    A chain's order is drawn from its seed; in training a model sees the true labels before it, later the predicted ones.
+    A label that training rows all have, or none has, is predicted as such.
+    """
+    import random
+
+    from pyspark.ml.feature import VectorAssembler
+
+    base = Pipeline(stages=[*_features(features), VectorAssembler(inputCols=["f1", "f2"], outputCol="features")]).fit(train)
+    rows = base.transform(train).select("features", *names).cache()
+    fit = lambda d, n, x, out: LogisticRegression(featuresCol=x, labelCol=n, probabilityCol=f"{out}_p", predictionCol=f"{out}_y", rawPredictionCol=f"{out}_r", regParam=0.01, maxIter=15, family="binomial").fit(d)
+    single = {n: fit(rows, n, "features", f"s_{n}") for n in names}
+    chains = []
+    for k, seed in enumerate(seeds):
+        order = random.Random(seed).sample(names, len(names))
+        chains.append((order, {n: fit(_assembled(rows, k, order[:i], order[:i]), n, f"x{k}", f"c{k}_{n}") for i, n in enumerate(order)}))
+    rows.unpersist()
+    return MultiLabel(base, single, chains, least)
