@@ -133,7 +133,7 @@ def multilabel(train: DataFrame, names: list[str], features: int = 1 << 14, seed
 
     base = Pipeline(stages=[*_features(features), VectorAssembler(inputCols=["f1", "f2"], outputCol="features")]).fit(train)
     rows = base.transform(train).select("features", *names).cache()
-    fit = lambda d, n, x, out: LogisticRegression(featuresCol=x, labelCol=n, probabilityCol=f"{out}_p", predictionCol=f"{out}_y", rawPredictionCol=f"{out}_r", regParam=0.01, maxIter=15, family="binomial").fit(d)
+    fit = lambda d, n, x, out: LogisticRegression(featuresCol=x, labelCol=n, probabilityCol=f"{out}_p", predictionCol=f"{out}_y", rawPredictionCol=f"{out}_r", regParam=0.001, maxIter=40, family="binomial").fit(d)
     single = {n: fit(rows, n, "features", f"s_{n}") for n in names}
     chains = []
     for k, seed in enumerate(seeds):
