@@ -248,7 +248,8 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """docs with one row of each near-duplicate class: that with the least key, null last; of repeated rows one."""
     signed = _signed(docs, text, key, docs.columns)
     kept = saved(_nodes(signed).groupBy("comp").agg(F.min("best")["at"].alias("at")).select("at"), "kept")
-    d = signed.filter("not missing").join(kept, "at", "left_semi").unionByName(signed.filter("missing"))
+    # merge: kept grows with the documents, so it is never sent to every task, whatever its size
+    d = signed.filter("not missing").join(kept.hint("merge"), "at", "left_semi").unionByName(signed.filter("missing"))
     return d.select(*unpacked(docs.columns))
 
 
