@@ -1,4 +1,4 @@
 """All registered queries: importing this module registers them."""
 
-from . import analytics, content, dedupe, extra, insight, learned, lists, more, search, sourcing, stories, streams, texts  # noqa: F401
+from . import analytics, content, dedupe, extra, insight, learned, lists, more, related, search, sourcing, stories, streams, texts  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

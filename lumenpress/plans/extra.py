@@ -81,14 +81,6 @@ def d12(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("story", "articles", "sources", F.round(F.least(F.lit(1.0), F.col("sources") / F.col("articles") + F.when(F.col("articles") > 1, 0.2).otherwise(1.0)), 6).alias("confidence"), "representative")
 
 
-@query("v24_related_articles", T.sql("SELECT id, other, score FROM (SELECT id, other, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS n FROM (SELECT a AS id, b AS other, score FROM st UNION ALL SELECT b, a, score FROM st) WHERE score >= 0.28) WHERE n <= 5", "articles", **_PAIR_CTES, st=_STORY))
-def v24(spark: SparkSession, sf: str) -> DataFrame:
-    """The five most related articles of each, from a score of 0.28 on."""
-    d = _stories(spark, sf).filter("score >= 0.28")
-    both = d.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").unionByName(d.select(F.col("b").alias("id"), F.col("a").alias("other"), "score"))
-    return R.top_per_group(both, ["id"], [F.desc("score"), F.col("other")], 5).drop("rank")
-
-
 @query("v13_sparse_cosine", T.sql("SELECT p.a, p.b, round(coalesce((SELECT sum(cast(u.weight * w.weight * 1e9 AS bigint)) FROM v u JOIN v w ON u.token = w.token WHERE u.id = p.a AND w.id = p.b), 0) / 1e9, 4) AS cosine FROM p", "articles", **_PAIR_CTES, tf="SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(t) AS token FROM every) GROUP BY 1, 2", v="SELECT id, token, round(w / sqrt(cast(sum(cast(w * w AS decimal(38, 12))) OVER (PARTITION BY id) AS double)), 6) AS weight FROM (SELECT id, token, (1 + ln(tf)) * (ln(((SELECT count(*) FROM articles) + 1) / (count(*) OVER (PARTITION BY token) + 1)) + 1) AS w FROM tf)"))
 def v13(spark: SparkSession, sf: str) -> DataFrame:
     """Cosine of title vectors for pairs of titles alike, in long form."""
