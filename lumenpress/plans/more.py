@@ -311,12 +311,6 @@ def r07(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("user_id", "category_id", F.round(F.col("w") / F.sum("w").over(Window.partitionBy("user_id")), 6).alias("share"))
 
 
-@query("r10_reasons", T.sql("SELECT user_id, category_id, CASE WHEN w >= 100 THEN 'often read' WHEN w >= 30 THEN 'matches interests' WHEN w > 0 THEN 'related' ELSE 'popular' END AS reason FROM w", "user_events", "article_categories", w=_WEIGHTS))
-def r10(spark: SparkSession, sf: str) -> DataFrame:
-    """Why a category is recommended, by its weight."""
-    return _profile(spark, sf).select("user_id", "category_id", F.when(F.col("w") >= 100, "often read").when(F.col("w") >= 30, "matches interests").when(F.col("w") > 0, "related").otherwise("popular").alias("reason"))
-
-
 _COLD = """SELECT a.id, max(round(0.55::double * (category_id_w / 9) + 0.20::double * confidence + 0.15::double * view_count / 997 + 0.10::double * trust_score, 6)) AS score
   FROM articles a JOIN (SELECT article_id, category_id AS category_id_w, confidence FROM article_categories) c ON c.article_id = a.id JOIN sources s ON s.id = a.source_id WHERE category_id_w >= 5 GROUP BY 1"""
 
