@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -36,6 +36,44 @@ def field_search(articles: DataFrame, query: str, content_chars: int = 2500) ->
     return d.select("id", F.explode(F.filter(F.array(score), lambda s: s > 0)).alias("score"))
 
 
+# Rows of a page, at most and where none are asked for; sort modes and what they go by before the time.
+MOST_ROWS, ROWS = 100, 20
+SORTS = {"relevance": "score", "most_read": "view_count", "most_shared": "share_count", "trend": "trend_score", "newest": None, "latest": None}
+
+
+def search(articles: DataFrame, query: str = "", category: str = "", source: str = "", since: Column | None = None, until: Column | None = None, sort: str = "", page: int = 1, limit: int = ROWS) -> DataFrame:
+    """A page of search results: articles' columns with score, place (from 1 over all pages), total and has_more.
+
+    articles: id, title, labels, summary, content, source, published_at, view_count, share_count, trend_score. Filters come
+    before scores. Without a query nothing is scored and the newest come first; with one only articles with a score count.
+    A category or source fits if its search form equals the article's; times are from since, before until.
+
+    Defined cases: an unknown sort is by relevance; a page beyond the last is empty; undated articles fit no range and come
+    last; equal rows go by id. The page alone is sorted, by a top-k of its last place.
+    """
+    page, limit = max(1, page), min(MOST_ROWS, max(1, limit))
+    asked = articles.sparkSession.range(1).select(X.sanitize_query(F.lit(query)).alias("q"), *(X.search_normal(X.sanitize_query(F.lit(v))).alias(k) for k, v in (("c", category), ("s", source)))).first()
+    d = articles
+    for name, want in (("labels", asked["c"]), ("source", asked["s"])):
+        if want:
+            d = d.filter(X.search_normal(F.col(name)) == want)
+    if since is not None:
+        d = d.filter(F.col("published_at") >= since)
+    if until is not None:
+        d = d.filter(F.col("published_at") < until)
+    if asked["q"]:
+        d = d.join(field_search(d, query), "id")
+    else:
+        d = d.withColumn("score", F.lit(0.0))
+    d = saved(d.drop("content"), "search-found")
+    by = SORTS.get((sort or ("relevance" if asked["q"] else "newest")).lower(), "score")
+    order = [*([F.desc_nulls_last(by)] if by else []), F.desc_nulls_last("published_at"), F.col("id")]
+    top = d.orderBy(*order).limit(page * limit)
+    total = d.agg(F.count(F.lit(1)).alias("n")).scalar()
+    placed = top.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # page * limit rows
+    return placed.filter(F.col("place") > (page - 1) * limit).withColumn("total", total).withColumn("has_more", F.col("total") > page * limit)
+
+
 def _is(term: str):
     return lambda w: w == F.lit(term)
 

@@ -44,6 +44,26 @@ def v01(spark: SparkSession, sf: str) -> DataFrame:
     return V.field_search(a, QUERY)
 
 
+@query(
+    "v02_search",
+    T.sql(
+        f"""SELECT id, title, score, cast(place AS int) AS place, total, total > 20 AS has_more FROM (SELECT *, row_number() OVER (ORDER BY score DESC, published_at DESC, id) AS place, count(*) OVER () AS total
+        FROM (SELECT id, title, published_at, least(100, round(({_fields_sql("t1")} * 4 + {_fields_sql("t2")} * 3 + {_fields_sql("t3")} * 2 + {_fields_sql("t4")} + {_fields_sql("t5")} * 0.5
+          + CASE WHEN contains(whole, phrase) THEN 5 ELSE 0 END) / (len(qt) * 10 + 5) * 100, 2)) AS score FROM f JOIN (SELECT id, title, published_at FROM articles WHERE category_id = 2 AND published_at >= {_NOW} - INTERVAL 20 DAYS) USING (id)) WHERE score > 0) WHERE place BETWEEN 11 AND 20""",
+        "articles",
+        "categories",
+        f=f"""SELECT a.id, {Q.search_tokens("title")} AS t1, {Q.search_tokens("c.name")} AS t2, {Q.search_tokens("summary")} AS t3, {Q.search_tokens("substr(content, 1, 2500)")} AS t4, {Q.search_tokens("source_name")} AS t5,
+          {Q.search_normal("(title || ' ' || c.name || ' ' || summary || ' ' || content || ' ' || source_name)")} AS whole, {Q.search_tokens(f"'{QUERY}'")} AS qt, {Q.search_normal(f"'{QUERY}'")} AS phrase FROM articles a JOIN categories c ON c.id = a.category_id""",
+    ),
+)
+def v02(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of ten results of a query in one category and the last twenty days, end to end."""
+    c = T.categories(spark).select(F.col("id").alias("category_id"), F.col("name").alias("labels"))
+    a = T.articles(spark, sf).join(c, "category_id").withColumnRenamed("source_name", "source").withColumn("trend_score", F.lit(None).cast("double"))
+    since = T.as_of() - F.expr("INTERVAL 20 DAYS")
+    return V.search(a, f" {QUERY} <", category="ekonomi", since=since, page=2, limit=10).select("id", "title", "score", "place", "total", "has_more")
+
+
 def _indexed(spark: SparkSession, sf: str) -> DataFrame:
     """Index texts as the engine has them: title, summary and the first 500 characters of the content."""
     text = F.concat_ws(" ", "title", "summary", F.substring("content", 1, 500))
