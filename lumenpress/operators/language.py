@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..scratch import saved
 
 # Characters that are looked at, and the fewest that are judged.
@@ -26,9 +27,12 @@ def sample(text: Column) -> Column:
 
 def runs(text: Column) -> Column:
     """Runs of one to three characters of the sample in lower case, all but letters as one space, a space at both ends."""
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(sample(text)), r"[^\p{L}]+", " ")), F.lit(" "))
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
-    return F.filter(F.concat(*(of(n) for n in (1, 2, 3))), lambda g: F.trim(g) != "")
+    text = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(sample(text)), r"[^\p{L}]+", " ")), F.lit(" "))
+
+    def of(t: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+
+    return F.filter(X.once(text, lambda t: F.concat(*(of(t, n) for n in (1, 2, 3)))), lambda g: F.trim(g) != "")
 
 
 def profiles(labelled: DataFrame) -> DataFrame:
