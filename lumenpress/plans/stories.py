@@ -267,7 +267,7 @@ def m26(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("r24_interest_rerank", T.sql(
     """SELECT user_id, article_id, round(existing, 6) AS existing, round(interest, 6) AS interest, round(greatest(0, least(1, 0.70::double * existing + 0.30::double * interest)), 6) AS score
-    FROM (SELECT user_id, article_id, CASE WHEN article_id % 3 = 0 THEN 0.5::double ELSE (article_id % 101) / 100 END AS existing, coalesce(greatest(0, least(1, num / den)), 0.5) AS interest
+    FROM (SELECT user_id, article_id, CASE WHEN article_id % 3 = 0 THEN 0.5::double ELSE (article_id % 101) / 100 END AS existing, greatest(0, least(1, coalesce(num / den, 0.5))) AS interest
       FROM (SELECT k.user_id, k.article_id, sum(h * coalesce(share, 0)) / 100 AS num, sum(h) / 100 AS den FROM (SELECT DISTINCT user_id, article_id FROM user_events) k
         LEFT JOIN (SELECT article_id, category_id, cast(round(confidence * 100) AS bigint) AS h FROM article_categories) c ON c.article_id = k.article_id LEFT JOIN sh ON sh.user_id = k.user_id AND sh.category_id = c.category_id GROUP BY 1, 2))""",
     "user_events", "article_categories", w=_WEIGHTS, sh="SELECT user_id, category_id, w / sum(w) OVER (PARTITION BY user_id) AS share FROM w WHERE w > 0",
@@ -281,7 +281,7 @@ def r24(spark: SparkSession, sf: str) -> DataFrame:
     d = k.join(c, "article_id", "left").join(share, ["user_id", "category_id"], "left").groupBy("user_id", "article_id")
     d = d.agg((F.sum(F.col("h") * F.coalesce("share", F.lit(0.0))) / 100).alias("num"), (F.sum("h") / 100).alias("den"))
     existing = F.when(F.col("article_id") % 3 == 0, 0.5).otherwise(F.col("article_id") % 101 / 100)
-    d = d.select("user_id", "article_id", existing.alias("existing"), F.coalesce(S.clamp01(F.col("num") / F.col("den")), F.lit(0.5)).alias("interest"))
+    d = d.select("user_id", "article_id", existing.alias("existing"), S.clamp01(F.coalesce(F.col("num") / F.col("den"), F.lit(0.5))).alias("interest"))
     score = S.clamp01(0.70 * F.col("existing") + 0.30 * F.col("interest"))
     return d.select("user_id", "article_id", F.round("existing", 6).alias("existing"), F.round("interest", 6).alias("interest"), F.round(score, 6).alias("score"))
 
