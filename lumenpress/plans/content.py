@@ -279,15 +279,25 @@ PERMISSIONS = ["read", "write", "reclassify", "verify", "manage"]
 _ROLE_ROWS = ", ".join(f"('{r}', '{p}')" for r, ps in ROLES.items() for p in ps)
 
 
+#: Roles of customers by their market segment; the first one has several.
+SEGMENT_ROLES = {"AUTOMOBILE": ["super_admin", *list(ROLES)[:1]], "BUILDING": list(ROLES)[:2], "FURNITURE": list(ROLES)[-1:], "MACHINERY": list(ROLES)[1:2]}
+_SEGMENT_ROWS = ", ".join(f"('{s}', '{r}')" for s, rs in SEGMENT_ROLES.items() for r in rs)
+
+
 @query(
     "j25_permissions",
-    f"""SELECT role, permission FROM (VALUES {_ROLE_ROWS}) AS t(role, permission) UNION SELECT 'super_admin', unnest({PERMISSIONS})""",
+    f"""WITH rp AS (SELECT role, permission FROM (VALUES {_ROLE_ROWS}) AS t(role, permission) UNION SELECT 'super_admin', unnest({PERMISSIONS})), ur AS (SELECT c_custkey AS user_id, role FROM customer JOIN (VALUES {_SEGMENT_ROWS}) AS s(segment, role) ON segment = c_mktsegment)
+    SELECT user_id, permission, count(*) AS roles FROM ur JOIN rp USING (role) GROUP BY 1, 2""",
 )
 def j25(spark: SparkSession, sf: str) -> DataFrame:
-    """Role permissions; the highest role has all."""
-    pairs = spark.createDataFrame([(r, p) for r, ps in ROLES.items() for p in ps], "role string, permission string")
-    everything = spark.createDataFrame([(p,) for p in PERMISSIONS], "permission string").select(F.lit("super_admin").alias("role"), "permission")
-    return pairs.unionByName(everything).distinct()
+    """What each customer may do through the roles held, and how many roles grant it; the highest role has all permissions.
+
+    Users and permissions meet over two bridges, roles of users and permissions of roles, which are small tables of this module.
+    """
+    granted = spark.createDataFrame([(r, p) for r, ps in {**ROLES, "super_admin": PERMISSIONS}.items() for p in dict.fromkeys(ps)], "role string, permission string")
+    held = spark.createDataFrame([(s, r) for s, rs in SEGMENT_ROLES.items() for r in rs], "c_mktsegment string, role string")
+    users = T.raw(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment").join(F.broadcast(held), "c_mktsegment")
+    return users.join(F.broadcast(granted), "role").groupBy("user_id", "permission").agg(F.count(F.lit(1)).alias("roles"))
 
 
 @query(
