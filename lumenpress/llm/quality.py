@@ -7,10 +7,12 @@ Mahalanobis distance are rejected. Everything is built from DataFrame functions.
 How the MCD is found, on any number of rows: the statistics are quantised to integers, so that medians
 and deviations are exact aggregations over few distinct values. Three deterministic starts (identity
 scatter, spatial-sign scatter, tanh scatter; cf. the deterministic MCD of Hubert, Rousseeuw and Verdonck)
-are improved by concentration steps side by side. A step is two aggregations: a histogram of distances per
-group, whose cumulative counts give the distance within which h = 75 % of the group lie, and the integer
-moments of those rows. Only per-group rows (one per language and source) are ever joined back. Sums are
-integers, so the result doesn't depend on partitions or order.
+are improved by concentration steps side by side. A step is one aggregation: a histogram of distances per
+group with the integer moments of each bin's rows; cumulative counts over the bins give the distance within which
+h = 75 % of the group lie, and the moments of the bins up to there are added up. The rows themselves are read once
+in a step and are never dealt by group: they meet only per-group rows (one per language and source), and what is
+shuffled is sums per bin, of which a group has a bounded number. Sums are integers, so the result doesn't depend on
+partitions or order.
 
 Defined cases: null or empty text has no words and fails the base rule. Null languages and sources are
 groups of their own. Groups with fewer than MIN_GROUP rows are judged by an estimate from all rows of their
@@ -34,6 +36,7 @@ H = 0.75
 STEPS = 4
 UNIT = 256  # z scores are integers of 1/256
 BINS = 32  # distance bins per octave
+GROUP_FILES = 2  # of a table with one row per group
 #: Quantisation (steps per natural-log unit) and minimum robust scale of the five statistics.
 STEP = (64, 256, 64, 64, 64)
 FLOOR = (0.25, 0.02, 0.6, 1.0, 1.2)
@@ -179,30 +182,34 @@ def _first_scatters(z: DataFrame) -> DataFrame:
         agg += [F.sum(v[i] * v[j]).alias(f"{name}{i}{j}") for i, j in pairs]
     sums = d.groupBy("g").agg(*agg)
     zero = [F.lit(0.0).alias(f"mu{j}") for j in range(P)]
-    scale = {"a": P, "b": 9}
-    starts = [sums.select("g", F.lit(0).alias("start"), *zero, *(F.lit(float(i == j)).alias(f"s{i}{j}") for i, j in pairs))]
-    for k, name in enumerate("ab", 1):
-        starts.append(sums.select("g", F.lit(k).alias("start"), *zero, *((scale[name] * F.col(f"{name}{i}{j}") / (F.col("n") * UNIT * UNIT)).alias(f"s{i}{j}") for i, j in pairs)))
-    return starts[0].unionByName(starts[1]).unionByName(starts[2])
+    scatters = [{(i, j): F.lit(float(i == j)) for i, j in pairs}]
+    for name, scale in (("a", P), ("b", 9)):
+        scatters.append({(i, j): scale * F.col(f"{name}{i}{j}") / (F.col("n") * UNIT * UNIT) for i, j in pairs})
+    starts = [F.struct(F.lit(k).alias("start"), *zero, *(v.alias(f"s{i}{j}") for (i, j), v in s.items())) for k, s in enumerate(scatters)]
+    return sums.select("g", F.explode(F.array(*starts)).alias("s")).select("g", "s.*")
 
 
 def _concentrate(z: DataFrame, factor: DataFrame) -> DataFrame:
     """One concentration step of every group and start."""
     d = _distance(z.join(factor, "g"))
     d = d.withColumn("bin", F.floor(BINS * F.log2(F.col("d2") + 1 / 1024)).cast("int"))
-    own = Window.partitionBy("g", "start")
-    counts = d.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.withColumns({"before": F.sum("c").over(own.orderBy("bin")) - F.col("c"), "n": F.sum("c").over(own)})
-    inner = counts.filter(F.col("before") < F.ceil(H * F.col("n"))).groupBy("g", "start").agg(F.max("bin").alias("edge"))
     pairs = [(i, j) for i in range(P) for j in range(i, P)]
-    agg = [F.count(F.lit(1)).alias("n"), *(F.sum(F.col(f"z{j}").cast("long")).alias(f"m{j}") for j in range(P))]
-    agg += [F.sum(F.col(f"z{i}").cast("long") * F.col(f"z{j}")).alias(f"p{i}{j}") for i, j in pairs]
-    sums = d.join(inner, ["g", "start"]).filter(F.col("bin") <= F.col("edge")).groupBy("g", "start").agg(*agg)
+    moments = {f"m{j}": F.col(f"z{j}").cast("long") for j in range(P)} | {f"p{i}{j}": F.col(f"z{i}").cast("long") * F.col(f"z{j}") for i, j in pairs}
+    bins = d.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("c"), *(F.sum(v).alias(k) for k, v in moments.items()))
+    own = Window.partitionBy("g", "start")
+    bins = bins.withColumns({"before": F.sum("c").over(own.orderBy("bin")) - F.col("c"), "all": F.sum("c").over(own)})
+    inner = bins.filter(F.col("before") < F.ceil(H * F.col("all")))
+    sums = inner.groupBy("g", "start").agg(F.sum("c").alias("n"), *(F.sum(k).alias(k) for k in moments))
     mean = {j: F.col(f"m{j}") / F.col("n") / UNIT for j in range(P)}
     cov = [(CONSISTENCY * (F.col(f"p{i}{j}") / F.col("n") / (UNIT * UNIT) - mean[i] * mean[j])).alias(f"s{i}{j}") for i, j in pairs]
     return sums.select("g", "start", *(mean[j].alias(f"mu{j}") for j in range(P)), *cov)
 
 
+def _per_group(df: DataFrame, name: str) -> DataFrame:
+    """Saved, in so few files that their size is that of the rows: Spark then sees that the table is small enough to broadcast."""
+    return saved(df.repartition(GROUP_FILES), name)
+
+
 def fit_mcd(rows: DataFrame, min_group: int = MIN_GROUP) -> tuple[DataFrame, DataFrame]:
     """Fit to rows with lk, sk (group keys), n_words and q0..q4.
 
@@ -213,20 +220,23 @@ def fit_mcd(rows: DataFrame, min_group: int = MIN_GROUP) -> tuple[DataFrame, Dat
     n = n.join(n.groupBy("lk").agg((F.sum("n") >= min_group).alias("enough")), "lk")
     own = F.concat("lk", F.lit("\x01"), "sk")
     groups = n.select("lk", "sk", F.when(F.col("n") >= min_group, own).when(F.col("enough"), F.col("lk")).otherwise(F.lit("*")).alias("g"))
-    groups = saved(groups, "mcd-groups")
+    groups = _per_group(groups, "mcd-groups")
     # a pool that serves any group is fitted to all rows of its language, or to all rows
     pools = groups.select("lk", "sk", F.explode(F.array(own, F.col("lk"), F.lit("*"))).alias("g")).join(groups.select("g").distinct(), "g", "left_semi")
-    d = rows.join(pools, ["lk", "sk"])
-    med = saved(d.groupBy("g").agg(*(F.percentile(f"q{j}", 0.5).alias(f"med{j}") for j in range(P))), "mcd-medians")
-    spread = d.join(med, "g").groupBy("g").agg(F.count(F.lit(1)).alias("pool_n"), *(F.percentile(F.abs(_deviation(j)), 0.5).alias(f"mad{j}") for j in range(P)))
+    d = rows.join(_per_group(pools, "mcd-pools"), ["lk", "sk"])
+    medians = [f"med{j}" for j in range(P)]
+    med = _per_group(d.groupBy("g").agg(*(F.percentile(f"q{j}", 0.5).alias(m) for j, m in enumerate(medians))), "mcd-medians")
+    spread = d.join(med, "g").groupBy("g", *medians).agg(F.count(F.lit(1)).alias("pool_n"), *(F.percentile(F.abs(_deviation(j)), 0.5).alias(f"mad{j}") for j in range(P)))
     scale = [F.greatest(1.4826 * F.col(f"mad{j}"), F.lit(FLOOR[j] * STEP[j])).alias(f"scale{j}") for j in range(P)]
-    frame = saved(med.join(spread, "g").filter(F.col("pool_n") >= min_group).select("g", *(f"med{j}" for j in range(P)), *scale), "mcd-scales")
+    frame = _per_group(spread.filter(F.col("pool_n") >= min_group).select("g", *medians, *scale), "mcd-scales")
     z = saved(d.join(frame, "g").select("g", *(_z(j).alias(f"z{j}") for j in range(P))), "mcd-z")
-    factor = saved(_factor(_first_scatters(z), ["g", "start"]), "mcd-start")
-    for _ in range(STEPS):
-        factor = saved(_factor(_concentrate(z, factor), ["g", "start"]), "mcd-step")
-    best = factor.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("logdet", "start"))).filter("rank = 1").drop("rank", "start")
-    return groups, saved(frame.join(best, "g"), "mcd-fit")
+    factor = _per_group(_factor(_first_scatters(z), ["g", "start"]), "mcd-start")
+    for _ in range(STEPS - 1):
+        factor = _per_group(_factor(_concentrate(z, factor), ["g", "start"]), "mcd-step")
+    factor = _factor(_concentrate(z, factor), ["g", "start"])
+    one = F.struct(*(c for c in factor.columns if c not in ("g", "start")))
+    best = factor.groupBy("g").agg(F.min_by(one, F.struct("logdet", "start")).alias("best")).select("g", "best.*")
+    return groups, _per_group(best.join(frame, "g"), "mcd-fit")
 
 
 def robust_outliers(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None, min_group: int = MIN_GROUP) -> DataFrame:

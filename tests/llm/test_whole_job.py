@@ -6,6 +6,9 @@ import math
 import random
 import string
 
+import pytest
+
+from lumenpress import scratch
 from lumenpress.llm import quality, secrets
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -143,3 +146,51 @@ def test_many_matches_in_one_long_text(spark):
     clean = " ".join("[secret]" if k % 2 else "word" for k in range(30_000))
     assert sorted(r.text for r in out) == sorted([clean, clean, "é " + clean])
     assert secrets.redact(d.limit(0)).count() == 0
+
+
+def test_a_concentration_step_reads_its_rows_once_and_equals_a_plain_one(spark):
+    """Rows used to be joined back by group, so that a large group met in one task."""
+    rng = random.Random(31)
+    rows = [(g, *(round(rng.gauss(0, 200) * (1 + (g == "b"))) for _ in range(quality.P))) for g in "aab" * 200]
+    z = spark.createDataFrame(rows, "g string, " + ", ".join(f"z{j} int" for j in range(quality.P)))
+    factor = quality._factor(quality._first_scatters(z), ["g", "start"])
+    z, factor = quality.saved(z, "z"), quality.saved(factor, "factor")
+    step = quality._concentrate(z, factor)
+    assert step._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+    got = {(r.g, r.start): r for r in step.collect()}
+    assert got.keys() == {(g, k) for g in "ab" for k in range(3)}
+    for f in factor.collect():
+        own, bins = [[x / quality.UNIT for x in r[1:]] for r in rows if r[0] == f.g], {}
+        for x in own:
+            y = []
+            for j in range(quality.P):
+                y.append((x[j] - f[f"mu{j}"] - sum(f[f"l{j}{k}"] * y[k] for k in range(j))) / f[f"l{j}{j}"])
+            bins.setdefault(math.floor(quality.BINS * math.log2(sum(v * v for v in y) + 1 / 1024)), []).append(x)
+        inner = []
+        for b in sorted(bins):
+            if len(inner) < math.ceil(quality.H * len(own)):
+                inner += bins[b]
+        for j in range(quality.P):
+            mean = sum(x[j] for x in inner) / len(inner)
+            assert got[f.g, f.start][f"mu{j}"] == pytest.approx(mean, abs=1e-9)
+            assert got[f.g, f.start][f"s{j}{j}"] == pytest.approx(quality.CONSISTENCY * (sum(x[j] ** 2 for x in inner) / len(inner) - mean**2))
+
+
+def test_tables_with_a_row_per_group_are_few_files(spark, monkeypatch):
+    """They used to be a file for each task that had a group."""
+    rng = random.Random(32)
+    rows = [(60 * s + k, " ".join(drawn(rng, rng.randint(2, 8), string.ascii_lowercase) for _ in range(25)), "en", f"s{s}") for s in range(12) for k in range(60)]
+    kept: dict[str, int] = {}
+
+    def counted(df, name):
+        out = scratch.saved(df, name)
+        kept[name] = max(kept.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(quality, "saved", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert all(r.d2 is not None for r in quality.robust_outliers(spark.createDataFrame(rows, DOCS)).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(n <= 2 for name, n in kept.items() if name not in ("quality", "mcd-z")) and len(kept) >= 7
