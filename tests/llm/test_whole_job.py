@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import string
+from pathlib import Path
 
 import pytest
 
@@ -194,3 +195,11 @@ def test_tables_with_a_row_per_group_are_few_files(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert all(n <= 2 for name, n in kept.items() if name not in ("quality", "mcd-z")) and len(kept) >= 7
+
+
+def test_saved_tables_are_data_files_only(spark):
+    """A _SUCCESS file costs the driver processes on a local file system, for each saved table."""
+    for rows in (5, 0):
+        out = scratch.saved(spark.range(rows), "few")
+        files = [f.name for f in Path(out.inputFiles()[0].removeprefix("file:")).parent.iterdir()]
+        assert out.count() == rows and "_SUCCESS" not in files and any(f.startswith("part-") for f in files)
