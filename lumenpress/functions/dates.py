@@ -41,7 +41,7 @@ def _parsed(m: Column, now: Column) -> Column:
     month = F.coalesce(F.try_element_at(_map(MONTHS), F.get(words, F.lit(1))), F.try_element_at(_map(MONTHS), bare))
     day, year = F.get(words, F.lit(0)).try_cast("int"), F.get(words, F.lit(2)).try_cast("int")
     near = _day(F.year(now), month, day)
-    rolled = F.when(year.isNotNull(), _day(year, month, day)).when(near < today, _day(F.year(now) + 1, month, day)).otherwise(near)
+    rolled = F.when(year.isNotNull(), _day(year, month, day)).when(near.isNull() | (near < today), _day(F.year(now) + 1, month, day)).otherwise(near)  # 29 February may be of the next year only
     weekday = F.try_element_at(_map(WEEKDAYS), F.regexp_replace(m, r"\s+(?:günü|gunu)$", ""))
     ahead = F.pmod(weekday - F.weekday(now), F.lit(7))
     add = lambda days: now + F.make_dt_interval(days)

@@ -41,6 +41,13 @@ def test_turkish_dates(spark, sentence, want):
     assert got == want
 
 
+def test_leap_day_of_the_next_year(spark):
+    """29 February seen from the year before is next year's; where neither year has one, it is left out."""
+    rows = [("29 Şubat'da", "2023-10-01 08:00:00"), ("29 şubat", "2024-01-31 00:00:00"), ("29 Şubat", "2021-03-01 00:00:00")]
+    d = spark.createDataFrame(rows, "s string, now string").select(D.dates(F.col("s"), F.col("now").cast("timestamp")).alias("x"))
+    assert [[f"{t:%Y-%m-%d}" for t in r.x] for r in d.collect()] == [["2024-02-29"], ["2024-02-29"], []]
+
+
 def test_story_entities(spark):
     text = "TCMB faizi 50 baz puan indirdi: Fatih Karahan'ın kararı %5 değil yüzde 45 % oldu. Maç 2-1 bitti, 3,5 milyon dolar ve 250 kişi. Türkiye Cumhuriyeti"
     got = spark.createDataFrame([(text,), (None,), ("",)], "x string").select(E.story_entities(F.col("x")).alias("e")).collect()
