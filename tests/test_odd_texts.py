@@ -28,7 +28,7 @@ def texts(tmp_path_factory):
     return d, c
 
 
-@pytest.mark.parametrize("name", ["c29_dated_sentences"])
+@pytest.mark.parametrize("name", ["c29_dated_sentences", "d19_claim_holders"])
 def test_odd_texts_as_in_sql(spark, texts, name):
     d, c = texts
     want = rows(c.execute(ORACLE[name]).fetchdf())
