@@ -148,3 +148,18 @@ def test_sha1_signatures(spark):
         w = tokens(c)
         shingles = {" ".join(w[i : i + 3]) for i in range(len(w) - 2)}
         assert got[k] == [min(int.from_bytes(hashlib.sha1(f"{seed}:{x}".encode()).digest()[:4], "big") for x in shingles) for seed in range(96)]
+
+
+def test_banded_by_arrays_as_by_columns(spark, monkeypatch):
+    """Bands by arrays are those of the column rule, for short and for long texts, and articles without words have none."""
+    rows = [(k, tokens(c) * n) for n in (0, 1) for k, _, _, c in some_articles() for k in [k + 1000 * n]] + [(5000, [f"w{i}" for i in range(9000)]), (5001, ["one"])]
+    d = spark.createDataFrame(rows, "id long, whole array<string>").repartition(3)
+    want = d.filter(F.size("whole") > 0).select("id", D.signature_bands(X.word_shingles(F.col("whole"))).alias("bands"))
+    got = {r.id: r.bands for r in D.banded(d).collect()}
+    assert got == {r.id: r.bands for r in want.collect()} and 5000 in got and 103 not in got
+
+
+def test_normal_form_of_any_letters(spark):
+    texts = ["İIıi ÇĞİÖŞÜ çé,ñ😀a😀.b ÂÎÛ—ßİxK ſ", "é ñ , é", "<b>x</b>é<y", "", None]
+    got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.dedupe_normal(F.col("t")).alias("x")).collect()]
+    assert got == [normal(t) for t in texts]
